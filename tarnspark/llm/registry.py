@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.llm import bpe, cube
+from tarnspark.llm import bpe, cube, near_dedup
 from tarnspark.llm.common import table
 
 
@@ -14,10 +14,14 @@ def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op7_cube_mix, op9_chunked_bpe)}
+QUERIES = {f.__name__: f for f in (op7_cube_mix, op8_tensored_minhash, op9_chunked_bpe)}
 
 ORACLES: dict[str, str] = {}
