@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.llm import bpe, cube, near_dedup, order_minhash
+from tarnspark.llm import bpe, cube, near_dedup, order_minhash, pii
 from tarnspark.llm.common import table
 
 
+def op1_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,6 @@ def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op5_order_minhash, op7_cube_mix, op8_tensored_minhash, op9_chunked_bpe)}
+QUERIES = {f.__name__: f for f in (op1_boosted_pii, op5_order_minhash, op7_cube_mix, op8_tensored_minhash, op9_chunked_bpe)}
 
 ORACLES: dict[str, str] = {}
