@@ -181,6 +181,7 @@ def examples(n: int = N_EXAMPLES) -> list[dict]:
     hex_ = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     word = lambda: "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(3, 9)))
     tld = lambda: r.choice(["com", "org", "net", "de", "fr", "es"])
+    wrong = lambda c: c[:-1] + str((int(c[-1]) + r.randint(1, 9)) % 10)
     nz = lambda: r.choice("23456789")
     card15 = lambda: _card(r, 15, r.choice(["34", "37"]))
     card16 = lambda: _card(r, 16, r.choice(["4", "51", "55", "6011"]))
@@ -196,6 +197,8 @@ def examples(n: int = N_EXAMPLES) -> list[dict]:
         (3, lambda: dig(r.randint(7, 12)), id_words, 0.5), (2, lambda: dig(r.randint(13, 19)), id_words, 0.4), (3, lambda: f"{nz()}{dig(2)}-{nz()}{dig(2)}-{dig(4)}", id_words, 1.0), (2, lambda: " ".join(dig(4) for _ in range(4)), id_words, 0.4),
         (3, lambda: f"{dig(2)} {dig(3)} {dig(2)} {dig(1)}", id_words, 0.2), (3, lambda: f"{dig(3)}/{dig(3)} {dig(3)}", id_words, 0.2), (3, lambda: f"{dig(3)}-{dig(2)}-{dig(4)}", id_words, 0.4), (2, lambda: f"{dig(5)}-{dig(5)}-{dig(5)}", id_words, 0.4),
         (1, lambda: ":".join(dig(2) for _ in range(3)), ["at", "time"], 0.4), (1, lambda: ":".join(hex_(2) for _ in range(6)), ["mac", "id"], 0.4), (0, lambda: f"{word()}@{word()}{r.choice(['.1', '.x'])}{dig(2)}", id_words, 0.4), (0, lambda: f"{word()} at {word()}.{word()}", ["the", "a"], 0.3), (0, lambda: f"the {word()} at {word()} dot dot", ["the"], 0.3),
+        (2, lambda: wrong(card16()), card_words, 0.5), (2, lambda: wrong(card15()), card_words, 0.5), (2, lambda: (lambda c: " ".join(c[i : i + 4] for i in (0, 4, 8, 12)))(wrong(card16())), card_words, 0.5),
+        (3, lambda: wrong(card16()), ["", "a"], 0.5), (3, lambda: ".".join(str(r.randint(100, 999)) for _ in range(4)), ip_words, 0.5), (3, lambda: f"{dig(1)}.{dig(2)}.{dig(1)}.{dig(4)}", id_words, 0.5),
     ]
     out = []
     for i in range(n):
