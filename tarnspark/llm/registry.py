@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.llm import bpe, cube, knn, near_dedup, order_minhash, pii
+from tarnspark.llm import bpe, cube, knn, line_templates, near_dedup, order_minhash, pii
 from tarnspark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.report(table(spark, sf_dir, "documents"))
+
+
 def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_boosted_pii, op4_block_matrix_knn, op5_order_minhash, op7_cube_mix, op8_tensored_minhash, op9_chunked_bpe)}
+QUERIES = {f.__name__: f for f in (op1_boosted_pii, op4_block_matrix_knn, op5_order_minhash, op6_template_tree, op7_cube_mix, op8_tensored_minhash, op9_chunked_bpe)}
 
 ORACLES: dict[str, str] = {
     "op4_block_matrix_knn": """
@@ -50,4 +54,42 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op6_template_tree": r"""
+        WITH l AS (
+            SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS s
+            FROM documents WHERE text <> ''),
+        t AS (
+            SELECT doc_id, text, line,
+                   list_transform(list_filter(regexp_split_to_array(s, '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+                                  lambda x: CASE WHEN regexp_matches(x, '[0-9@]|^[a-z]+://') THEN '<*>' ELSE x END) AS w
+            FROM l),
+        k AS (
+            SELECT doc_id, text, line, len(w) AS n, unnest(
+                CASE WHEN len(w) >= 12 THEN
+                    ['0 ' || len(w) || ' ' || array_to_string(w, ' ')] || list_transform([0, 1, 2, 3], lambda j:
+                        (j + 1) || ' ' || len(w) || ' ' || array_to_string(w[1:3 + (len(w) - 3) * j // 4] || ['<*>'] || w[4 + (len(w) - 3) * (j + 1) // 4:], ' '))
+                WHEN len(w) >= 3 THEN ['0 ' || len(w) || ' ' || array_to_string(w, ' ')] ELSE [] END) AS name
+            FROM t),
+        h AS (SELECT doc_id, text, line, n >= 20 AS long, name[1:2] = '0 ' AS plain, CAST('0x' || md5(name)[1:15] AS BIGINT) AS key FROM k),
+        own AS (
+            SELECT doc_id, text, list_sort(list_distinct(list(key))) AS o FROM h WHERE plain GROUP BY ALL),
+        p AS (SELECT doc_id, text, line, key AS exact FROM h WHERE plain),
+        o AS (
+            SELECT h.doc_id, h.text, h.line, h.long, h.key,
+                   CASE WHEN p.exact = own.o[1] THEN coalesce(own.o[2], 0) ELSE own.o[1] END AS context
+            FROM h JOIN p ON h.doc_id = p.doc_id AND h.text = p.text AND h.line = p.line
+                   JOIN own ON h.doc_id = own.doc_id AND h.text = own.text),
+        r AS (
+            SELECT key, long, count(DISTINCT context) AS c, min((doc_id, line)) AS first FROM o GROUP BY ALL),
+        d AS (
+            SELECT DISTINCT o.doc_id, o.line FROM o JOIN r ON o.key = r.key AND o.long = r.long
+            WHERE r.c >= CASE WHEN r.long THEN 3 ELSE 8 END AND (o.doc_id, o.line) <> r.first),
+        x AS (
+            SELECT doc_id, l.line, l.s, d.line IS NOT NULL AS gone FROM l LEFT JOIN d USING (doc_id, line)),
+        y AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+                   coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text FROM x GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(y.text, documents.text) AS text
+        FROM documents LEFT JOIN y USING (doc_id)
+    """,
 }
