@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.llm import bpe, cube, knn, line_templates, near_dedup, order_minhash, pii
+from tarnspark.llm import bpe, cube, knn, line_templates, near_dedup, order_minhash, pii, quality
 from tarnspark.llm.common import table
 
 
@@ -38,7 +38,11 @@ def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_boosted_pii, op4_block_matrix_knn, op5_order_minhash, op6_template_tree, op7_cube_mix, op8_tensored_minhash, op9_chunked_bpe)}
+def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_boosted_pii, op4_block_matrix_knn, op5_order_minhash, op6_template_tree, op7_cube_mix, op8_tensored_minhash, op9_chunked_bpe, op10_weak_label_quality)}
 
 ORACLES: dict[str, str] = {
     "op4_block_matrix_knn": """
