@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.llm import bpe, cube, knn, line_templates, near_dedup, order_minhash, pii, quality
+from tarnspark.llm import bpe, cube, fixity, knn, line_templates, near_dedup, order_minhash, pii, quality, tool_calls
 from tarnspark.llm.common import table
 
 
@@ -14,6 +14,15 @@ def op1_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return fixity.audit(pages, fixity.damaged(pages), "page_id", ["page_id", "url", "html"])[0]
+
+
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations")), tool_calls.TURN_SCHEMAS)
+
+
 def op4_block_matrix_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -42,9 +51,57 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_boosted_pii, op4_block_matrix_knn, op5_order_minhash, op6_template_tree, op7_cube_mix, op8_tensored_minhash, op9_chunked_bpe, op10_weak_label_quality)}
+QUERIES = {f.__name__: f for f in (op1_boosted_pii, op2_merkle_fixity, op3_tool_call_linking, op4_block_matrix_knn, op5_order_minhash, op6_template_tree, op7_cube_mix, op8_tensored_minhash, op9_chunked_bpe, op10_weak_label_quality)}
 
 ORACLES: dict[str, str] = {
+    "op2_merkle_fixity": """
+        WITH r AS (
+            SELECT page_id, url, CASE WHEN page_id % 101 = 13 THEN coalesce(html, '') || '?' ELSE html END AS html
+            FROM pages WHERE page_id IS NULL OR page_id % 211 <> 29
+            UNION ALL SELECT -page_id - 1, url, html FROM pages WHERE page_id % 307 = 7),
+        h AS (
+            SELECT page_id, sha256(concat_ws(',', strlen(CAST(page_id AS VARCHAR)) || ':' || page_id,
+                       coalesce(strlen(url) || ':' || url, '-'), coalesce(strlen(html) || ':' || html, '-'))) AS hash, 1 AS side FROM pages
+            UNION ALL
+            SELECT page_id, sha256(concat_ws(',', strlen(CAST(page_id AS VARCHAR)) || ':' || page_id,
+                       coalesce(strlen(url) || ':' || url, '-'), coalesce(strlen(html) || ':' || html, '-'))), 2 FROM r),
+        x AS (SELECT page_id, max(hash) FILTER (side = 1) AS a, max(hash) FILTER (side = 2) AS b FROM h GROUP BY page_id)
+        SELECT page_id, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'extra' ELSE 'altered' END AS status,
+               a AS primary_hash, b AS replica_hash,
+               CAST(floor(page_id / 256.0) AS BIGINT) * 256 AS range_start, CAST(floor(page_id / 256.0) AS BIGINT) * 256 + 256 AS range_end
+        FROM x WHERE a IS DISTINCT FROM b
+    """,
+    "op3_tool_call_linking": """
+        WITH c AS (
+            SELECT conv_id, 'turn_' || turn AS call_id, turn, role AS name, text,
+                   CASE WHEN turn >= 2 THEN 'turn_' || (turn - 2) END AS parent_id
+            FROM conversations WHERE role <> 'assistant' OR role IS NULL),
+        r AS (
+            SELECT conv_id, 'turn_' || (turn - 1) AS call_id, turn AS result_turn, text AS result FROM conversations WHERE role = 'assistant'),
+        up AS (
+            WITH RECURSIVE w AS (
+                SELECT c.conv_id, c.call_id, 0 AS depth FROM c LEFT JOIN c p ON c.conv_id = p.conv_id AND c.parent_id = p.call_id WHERE p.call_id IS NULL
+                UNION ALL
+                SELECT c.conv_id, c.call_id, w.depth + 1 FROM w JOIN c ON c.conv_id = w.conv_id AND c.parent_id = w.call_id)
+            SELECT * FROM w),
+        j AS (
+            SELECT conv_id, call_id, up.depth, c.turn, c.name, c.text, c.parent_id, r.result_turn, r.result,
+                   c.call_id IS NOT NULL AS called, r.call_id IS NOT NULL AS answered,
+                   c.parent_id IS NOT NULL AND p.call_id IS NULL AS lost
+            FROM c JOIN up USING (conv_id, call_id) LEFT JOIN (SELECT conv_id, call_id AS parent_id, call_id FROM c) p USING (conv_id, parent_id)
+            FULL JOIN r USING (conv_id, call_id)),
+        e AS (
+            SELECT *, concat_ws(';', CASE WHEN name = 'system' THEN 'scope:missing' WHEN called AND name <> 'user' THEN 'tool:unknown' END,
+                                CASE WHEN lost THEN 'parent:missing' END) AS errors,
+                   CASE WHEN called THEN '{"text":' || to_json(text) || ',"turn":' || turn || '}' END AS canonical FROM j)
+        SELECT conv_id, call_id, CAST(depth AS BIGINT) AS depth, CAST(turn AS BIGINT) AS turn, name,
+               CASE WHEN NOT called THEN 'orphan' WHEN errors <> '' THEN 'invalid' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
+               errors, canonical, CAST(result_turn AS BIGINT) AS result_turn, result,
+               CAST(called AS BIGINT) AS n_calls, CAST(answered AS BIGINT) AS n_results,
+               '{"arguments":' || coalesce(canonical, 'null') || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name), 'null')
+                   || ',"result":' || coalesce(to_json(result), 'null') || '}' AS message
+        FROM e
+    """,
     "op4_block_matrix_knn": """
         WITH v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
