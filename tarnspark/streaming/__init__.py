@@ -1,0 +1 @@
+"""No streaming operators: the covered query surface is batch only."""
