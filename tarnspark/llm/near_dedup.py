@@ -5,10 +5,13 @@ Documents with equal shingle sets form a class; only classes are compared. Two s
 a group of one with a group of the other, so 64 tables need 32 minhashes. At a similarity s a pair
 shares some table with probability (1 - (1 - s^rows)^groups)^2, 0.99993 at s = 0.85.
 
-A table's bucket is never expanded into pairs: its members are compared with a few pivots, the least
-members under fixed orders. Links are confirmed on full shingle sets and contracted to components.
-Buckets that still hold several components go through further pivots and at last, exactly, through all
-pairs that cross components, so no link that a table proposes is left unchecked where it matters.
+A table's bucket is never expanded into pairs: its members are compared with a few pivots, the first
+members under fixed orders (one of them by how much company a class has in all tables, so that the
+middle of a group of near copies comes first). Links are confirmed on full shingle sets and contracted
+to components. Classes of a bucket that are still outside its main component are then compared with
+the other components exactly: in small buckets by pairs, in large ones by tiles of bounded size that
+hold sets of one group key, count intersections by matrix products and give a spanning forest of the
+links. So no link that a table proposes is left unchecked where it matters.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; one or two
 words are one shingle; repeated rows are copies of each other; a null doc_id is kept and never names
@@ -25,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import Scratch, text_or_empty
+from tarnspark.llm.common import WORD, Scratch, text_or_empty
 from tarnspark.llm.components import components
 
 GROUPS, ROWS = 8, 2
-#: Pivots of a bucket in one round, and rounds before the exact step.
-PIVOTS, ROUNDS = 4, 4
+#: Pivots of a bucket; largest bucket that is compared by pairs; sets on a side of a tile.
+PIVOTS, SMALL, SIDE = 4, 32, 2048
 U = np.uint64
 _K = (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 
@@ -69,14 +72,14 @@ def minhashes(s: np.ndarray, salt: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, sig (128-bit digest of the set), bands (2 * groups group keys)."""
+    """doc_id, th, n_shingles, sig (128-bit digest of the set), bands (2 * groups group keys)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
         salt, odd = seeds(2 * groups * rows)
         for pdf in batches:
             out = []
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
+            for d, h, t in zip(pdf["doc_id"], pdf["th"], pdf["text"]):
                 s = shingles(t, k, seen)
                 bands = None
                 if len(s):
@@ -86,10 +89,10 @@ def signatures(docs: DataFrame, k: int, groups: int = GROUPS, rows: int = ROWS)
                         x = (x + m[:, r]) * _K[r % 3]
                         x ^= x >> U(29)
                     bands = x.astype(np.int64)
-                out.append((d, len(s), xxhash.xxh3_128_digest(s.tobytes()), bands))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "sig", "bands"]).astype({"doc_id": "Int64"})
+                out.append((d, h, len(s), xxhash.xxh3_128_digest(s.tobytes()), bands))
+            yield pd.DataFrame(out, columns=["doc_id", "th", "n_shingles", "sig", "bands"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_shingles long, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, th long, n_shingles long, sig binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -105,8 +108,42 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "sig binary, items array<long>")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id: links where 100 * intersection >= percent * union."""
+def tile_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A spanning forest of the links between two lists of sets (sig, label, items), given the components they are in."""
+    out: list[tuple[bytes, bytes]] = []
+    if len(left) and len(right):
+        items = [*left["items"], *right["items"]]
+        size = np.array([len(x) for x in items])
+        vocabulary, at, df = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        shared = np.cumsum(df > 1) - 1
+        use, row = df[at] > 1, np.repeat(np.arange(len(items)), size)
+        row, col, nl = row[use], shared[at[use]], len(left)
+        both = np.zeros((nl, len(right)), np.float32)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for lo in range(0, int(shared[-1]) + 1, 4096):
+            part = slice(*np.searchsorted(col, [lo, lo + 4096]))
+            m = np.zeros((len(items), 4096), np.float32)
+            m[row[part], col[part] - lo] = 1
+            both += m[:nl] @ m[nl:].T
+        union = size[:nl, None] + size[None, nl:] - both
+        near = 100 * both >= percent * union
+        comp = pd.factorize(pd.concat([left["label"], right["label"]]))[0]
+        sig = [*left["sig"], *right["sig"]]
+        for i in np.flatnonzero(near.any(axis=1)):
+            js = nl + np.flatnonzero(near[i])
+            for c, j in zip(*np.unique(comp[js], return_index=True)):
+                if c != comp[i]:
+                    out.append((sig[i], sig[js[j]]))
+                    comp[comp == c] = comp[i]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS, internal: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, class_id: links where 100 * intersection >= percent * union.
+
+    ``internal`` adds th, a hash of the text, and label, which names the component (null without words).
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", text_or_empty().alias("text"))
@@ -114,24 +151,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
     classes = scratch.keep(signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max(F.struct("n_shingles", "bands")).alias("x")).select("sig", "rep", F.col("x.n_shingles").alias("n"), "x.bands"))
     keys = F.array(*[F.xxhash64(F.lit(i * groups + j), F.get("bands", F.lit(i)), F.get("bands", F.lit(groups + j))) for i in range(groups) for j in range(groups)])
     rows_ = classes.select("sig", "n", F.explode(keys).alias("key"))
-    crowded = rows_.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    crowded = rows_.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = scratch.keep(rows_.join(crowded, "key"))
+    company = scratch.keep(members.groupBy("sig").agg(F.sum("c").alias("company")))
 
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
-    def stars(of: DataFrame, salt: int) -> DataFrame:
-        orders = [F.min(F.struct(F.xxhash64(F.lit(salt + i), "sig").alias("o"), "sig", "n")).alias(f"p{i}") for i in range(PIVOTS)]
+    def stars() -> DataFrame:
+        of = members.join(company, "sig")
+        orders = [F.min(F.struct((-F.col("company") if i == 0 else F.xxhash64(F.lit(i), "sig")).alias("o"), "sig", "n")).alias(f"p{i}") for i in range(PIVOTS)]
         pivots = of.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"p{i}.sig", f"p{i}.n") for i in range(PIVOTS)]))).alias("p"))
-        return of.join(pivots, "key").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("p.sig").alias("b"), F.col("p.n").alias("nb"))
+        return members.join(pivots, "key").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("p.sig").alias("b"), F.col("p.n").alias("nb"))
+
+    def sets_of(named: DataFrame) -> DataFrame:
+        """sig, items of the classes named, from the text of one document each."""
+        named = scratch.keep(named.distinct().join(classes.select("sig", "rep"), "sig"))
+        texts = docs.join(named.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+        return scratch.keep(full_sets(texts, k).join(named.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among the proposed pairs, on full sets of the classes involved."""
         lo, hi = F.least("a", "b"), F.greatest("a", "b")
         pairs = scratch.keep(pairs.where(F.col("a") != F.col("b")).where(near).select(lo.alias("a"), hi.alias("b")).distinct())
-        named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-        named = scratch.keep(named.join(classes.select("sig", "rep"), "sig"))
-        texts = docs.join(named.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-        sets = scratch.keep(full_sets(texts, k).join(named.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
+        sets = sets_of(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))))
         one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
         two = one.join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
@@ -139,28 +181,65 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
         scratch.drop(sets)
         return links
 
-    links = confirmed(stars(members, 0))
-    for turn in range(1, ROUNDS + 2):
-        found = scratch.keep(components(links, "a", "b", scratch))
-        placed = members.join(found.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        by = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-        mixed = scratch.keep(by.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "c", F.col("main.label").alias("main"), (F.col("c") - F.col("main.c")).alias("out")))
-        cross, n = mixed.agg(F.coalesce(F.sum(F.col("out") * F.col("c")), F.lit(0)), F.count(F.lit(1))).first()
-        if not n:
-            break
-        placed = scratch.keep(placed.join(mixed.select("key", "main"), "key"))
-        if turn <= ROUNDS and cross > 20 * classes.count():
-            links = links.unionByName(confirmed(stars(placed, PIVOTS * turn)))
-            continue
-        x = placed.where("label != main").select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        y = placed.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        links = links.unionByName(confirmed(x.join(y, "key").where("la != lb").select("a", "na", "b", "nb")))
-        found = scratch.keep(components(links, "a", "b", scratch))
-        break
+    def by_tiles(outside: DataFrame, labelled: DataFrame) -> DataFrame:
+        """Links of the classes ``outside`` with any class of another component that shares a group key of the first collection."""
+        bands = classes.join(labelled, "sig").select("sig", "label", "bands").join(outside.withColumn("out", F.lit(True)), "sig", "left")
+        keyed = bands.select("sig", "label", F.coalesce("out", F.lit(False)).alias("out"), F.posexplode(F.slice("bands", 1, groups)).alias("g", "band"))
+        by = keyed.groupBy("g", "band").agg(F.count(F.lit(1)).alias("c"), F.count_if("out").alias("o"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("o > 0 and l0 <> l1")
+        blocks = lambda n: F.ceil(F.col(n) / SIDE).cast("long")
+        keyed = scratch.keep(keyed.join(by.select("g", "band", blocks("o").alias("no"), blocks("c").alias("nc")), ["g", "band"]))
+        sets = sets_of(keyed.select("sig"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        mine = lambda n: F.pmod(F.xxhash64("sig"), F.col(n))
+        x = keyed.where("out").withColumn("i", mine("no")).withColumn("j", every("nc")).join(sets, "sig").select("g", "band", "i", "j", "sig", "label", "items")
+        y = keyed.withColumn("j", mine("nc")).withColumn("i", every("no")).join(sets, "sig").select("g", "band", "i", "j", "sig", "label", "items")
+        tile = ["g", "band", "i", "j"]
+        x, y = x.toDF(*x.columns), y.toDF(*y.columns)  # the two sides share their sources
+        links = x.groupBy(*tile).cogroup(y.groupBy(*tile)).applyInPandas(lambda a, b: tile_links(a, b, percent), "a binary, b binary")
+        links = scratch.keep(links.distinct())
+        scratch.drop(sets)
+        return links
+
+    links = confirmed(stars())
+    found = components(links, "a", "b", scratch)
+    labelled = scratch.keep(company.select("sig").join(found.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
+    placed = members.join(labelled, "sig")
+    by = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("main.label").alias("main"))
+    placed = scratch.keep(placed.join(mixed, "key"))
+    x = placed.where(f"label != main and c <= {SMALL}").select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = placed.where(f"c <= {SMALL}").select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    more = confirmed(x.join(y, "key").where("la != lb").select("a", "na", "b", "nb"))
+    outside = scratch.keep(placed.where(f"label != main and c > {SMALL}").select("sig").distinct())
+    if outside.limit(1).count():
+        more = more.unionByName(by_tiles(outside, labelled))
+    if more.limit(1).count():
+        found = components(links.unionByName(more), "a", "b", scratch)
     labels = classes.select("sig", "rep").join(found.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = labels.groupBy("label").agg(F.min("rep").alias("component_id"))
-    placed = scratch.keep(labels.join(least, "label").select("sig", F.col("rep").alias("class_id"), "component_id"))
-    out = signed.select("doc_id", "n_shingles", "sig").join(placed, "sig", "left")
+    placed = scratch.keep(labels.join(least, "label").select("sig", "label", F.col("rep").alias("class_id"), "component_id"))
+    for kept in (members, classes):
+        scratch.drop(kept)
+    out = signed.select("doc_id", "th", "n_shingles", "sig").join(placed, "sig", "left")
     alone = F.col("n_shingles") == 0
-    out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))).withColumn("class_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
+    named = {c: F.when(alone, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")}
+    more = ["th", "label"] if internal else []
+    return out.select("doc_id", "n_shingles", named["component_id"], F.col("doc_id").eqNullSafe(named["component_id"]).alias("kept"), named["class_id"], *more)
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near copies, that with the least doc_id (then text hash), columns as they were.
+
+    Rows equal in doc_id and text are copies: one stays. Documents without words are no copies of
+    anything and all stay.
+    """
+    has_words = text_or_empty().rlike(WORD)
+    th = F.xxhash64(text_or_empty())
+    found = near_duplicates(docs, k, percent, internal=True).where("label is not null")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("x"), F.count(F.lit(1)).alias("n"))
+    first = Scratch(docs.sparkSession).keep(first.select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"), "n"))
+    once = docs.where(has_words).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (th == F.col("_th")))
+    # a group's first document may itself be there several times
+    several = once.where("n > 1").withColumn("_key", th).dropDuplicates(["doc_id", "_key"])
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return once.where("n = 1").select(*cols).unionByName(several.select(*cols)).unionByName(docs.where(~has_words).select(*cols))
