@@ -76,7 +76,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     by = by_context.groupBy("key", "long").agg(F.count(F.lit(1)).alias("c"), F.min("first").alias("first"))
     recurring = by.where((F.col("long") & (F.col("c") >= LONG_CONTEXTS)) | (~F.col("long") & (F.col("c") >= SHORT_CONTEXTS))).select("key", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"), F.col("first.line").alias("f_line"))
     is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("line") == F.col("f_line"))
-    return seen.join(recurring, "key").where(~is_first).groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop"))
+    out = scratch.keep(seen.join(recurring, "key").where(~is_first).groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")))
+    scratch.drop(seen)
+    return out
 
 
 def marked(docs: DataFrame) -> DataFrame:
