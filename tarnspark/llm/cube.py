@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import WORD, Scratch, text_or_empty
+from tarnspark.llm.common import WORD, Scratch, fresh, own_columns, text_or_empty
 
 #: The weights that sources take in turn, and the most often that a document is taken.
 WEIGHTS = (1, 2, 3)
@@ -156,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     all_ = done[0]
     for d in done[1:]:
         all_ = all_.unionByName(d)
-    copies = (F.col("whole") + F.round("x")).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.round("x")).otherwise(0).cast("long")
     return all_.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
 
 
@@ -166,7 +166,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Documents that share an id share the sum of their copies evenly in hash order of their texts; after
     near-dedup ids are unique.
     """
-    taken = mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    each = docs.join(taken.where("_copies > 0").withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    each = each.withColumn("_times", F.ceil(F.col("_copies") / F.col("_rows")).cast("int"))
-    return each.withColumn("_occ", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    id_, copies, rows, occ = fresh(docs, "_id", "_copies", "_rows", "_occ")
+    taken = mix(docs).groupBy(F.col("doc_id").alias(id_)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).where(F.col(copies) > 0)
+    each = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    times = F.ceil(F.col(copies) / F.col(rows)).cast("int")
+    return each.withColumn(occ, F.explode(F.sequence(F.lit(1), times))).select(*own_columns(docs))

@@ -6,8 +6,9 @@ if it is long enough, for four generalised ones, each with one quarter of the re
 variable field: two lines that differ inside one quarter share a template.
 
 A template recurs if it occurs in enough different documents. Documents are told apart by context, the
-least template among a document's other lines, so that copies of one document count as one: whole
-documents are near-dedup's business, and a pair of copies is not emptied line by line. Of a recurring
+least and the greatest template key among a document's other lines, so that copies of one document,
+changed lines apart, count as one: whole documents are near-dedup's business, and a pair of copies is
+not emptied line by line. Of a recurring
 template the first line (least doc_id, then line) stays and the others are dropped.
 
 All steps are grouped sums with map-side combining, so a template that a third of all lines shares is
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import SPACE, Scratch, let, text_or_empty
+from tarnspark.llm.common import SPACE, Scratch, fresh, let, text_or_empty
 
 LEAD = 3
 MIN_TOKENS = 3
@@ -61,9 +62,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """key, context, long, doc_id, th, line: a row for every template of every line."""
     own = F.array_sort(F.array_distinct(F.transform(F.filter("lines", lambda l: F.size(l["keys"]) > 0), lambda l: F.get(l["keys"], 0))))
     p = parsed(docs).select("doc_id", "th", "lines", own.alias("own"))
-    first, second = F.coalesce(F.get("own", 0), F.lit(0)), F.coalesce(F.get("own", 1), F.lit(0))
-    p = p.select("doc_id", "th", first.alias("m0"), second.alias("m1"), F.posexplode("lines").alias("line", "l"))
-    context = F.when(F.get("l.keys", 0) == F.col("m0"), F.col("m1")).otherwise(F.col("m0"))
+    end = lambda i: F.coalesce(F.try_element_at("own", F.lit(i)), F.lit(0))
+    p = p.select("doc_id", "th", *[end(i).alias(n) for i, n in ((1, "lo0"), (2, "lo1"), (-1, "hi0"), (-2, "hi1"))], F.posexplode("lines").alias("line", "l"))
+    k = F.get("l.keys", 0)
+    other = lambda at, next_: F.when(k == F.col(at), F.col(next_)).otherwise(F.col(at))
+    context = other("lo0", "lo1").bitwiseXOR(F.shiftright(other("hi0", "hi1"), 1))
     return p.select("doc_id", "th", "line", (F.col("l.n") >= LONG).alias("long"), context.alias("context"), F.explode("l.keys").alias("key"))
 
 
@@ -81,29 +84,30 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return out
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with _lines (of their text), _drop (numbers of lines to drop, or null)."""
+def marked(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The rows of ``docs`` joined with their decisions; numbers of the lines to drop (or null); the text without them."""
     th = F.xxhash64(text_or_empty())
-    thin = docs.select("doc_id", text_or_empty().alias("text"), th.alias("th")).where("text <> ''")
-    drop = dropped_lines(thin).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left").withColumn("_lines", F.split("text", "\n")).drop("_id", "_th")
-
-
-def rest() -> Column:
-    kept = F.filter("_lines", lambda l, i: ~F.array_contains("_drop", i))
-    return F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    id_, th_, drop = fresh(docs, "_id", "_th", "_drop")
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), th.alias("th")).where("text <> ''")
+    found = dropped_lines(thin).select(F.col("doc_id").alias(id_), F.col("th").alias(th_), F.col("drop").alias(drop))
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (th == F.col(th_)), "left")
+    kept = F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains(drop, i))
+    return joined, F.col(drop), F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, text without the dropped lines."""
-    m = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    n = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size("_lines"))
-    return m.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), rest().alias("text"))
+    joined, drop, rest = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    n = F.when(text_or_empty() == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return joined.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"), rest.alias("text"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with recurring lines dropped, columns as they were; those left without any word go."""
-    m = marked(docs).withColumn("_new", rest())
-    m = m.where(F.col("_drop").isNull() | F.col("_new").rlike(f"[^{SPACE}]"))
-    replaced = {"text": F.col("_new")} | ({"n_chars": F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return m.select(*[replaced.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    joined, drop, rest = marked(docs)
+    (new,) = fresh(joined, "_new")
+    joined = joined.withColumn(new, rest).where(drop.isNull() | F.col(new).rlike(f"[^{SPACE}]"))
+    replaced = {"text": F.col(new)}
+    if "n_chars" in docs.columns:
+        replaced["n_chars"] = F.when(drop.isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[replaced.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import WORD, Scratch, text_or_empty
+from tarnspark.llm.common import WORD, Scratch, fresh, own_columns, text_or_empty
 from tarnspark.llm.components import components
 
 GROUPS, ROWS = 8, 2
@@ -236,10 +236,11 @@ def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     has_words = text_or_empty().rlike(WORD)
     th = F.xxhash64(text_or_empty())
     found = near_duplicates(docs, k, percent, internal=True).where("label is not null")
-    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("x"), F.count(F.lit(1)).alias("n"))
-    first = Scratch(docs.sparkSession).keep(first.select(F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"), "n"))
-    once = docs.where(has_words).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (th == F.col("_th")))
+    id_, th_, n_, key = fresh(docs, "_id", "_th", "_n", "_key")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("x"), F.count(F.lit(1)).alias(n_))
+    first = Scratch(docs.sparkSession).keep(first.select(F.col("x.doc_id").alias(id_), F.col("x.th").alias(th_), n_))
+    once = docs.where(has_words).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (th == F.col(th_)))
     # a group's first document may itself be there several times
-    several = once.where("n > 1").withColumn("_key", th).dropDuplicates(["doc_id", "_key"])
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return once.where("n = 1").select(*cols).unionByName(several.select(*cols)).unionByName(docs.where(~has_words).select(*cols))
+    several = once.where(F.col(n_) > 1).withColumn(key, th).dropDuplicates(["doc_id", key])
+    cols = own_columns(docs)
+    return once.where(F.col(n_) == 1).select(*cols).unionByName(several.select(*cols)).unionByName(docs.where(~has_words).select(*cols))

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnspark.llm.common import fresh, own_columns
+
 DIMS = 4096
 SAMPLE = 20_000
 THRESHOLD = 0.5
@@ -224,4 +226,5 @@ def scored(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def accepted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not rejected, columns as they were."""
     score = scorer(fit(docs.select("doc_id", "text")))
-    return docs.withColumn("_score", score("text")).where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = fresh(docs, "_score")
+    return docs.withColumn(name, score("text")).where(F.col(name) >= threshold).select(*own_columns(docs))

@@ -137,7 +137,8 @@ ORACLES: dict[str, str] = {
         p AS (SELECT doc_id, text, line, key AS exact FROM h WHERE plain),
         o AS (
             SELECT h.doc_id, h.text, h.line, h.long, h.key,
-                   CASE WHEN p.exact = own.o[1] THEN coalesce(own.o[2], 0) ELSE own.o[1] END AS context
+                   xor(CASE WHEN p.exact = own.o[1] THEN coalesce(own.o[2], 0) ELSE own.o[1] END,
+                       CASE WHEN p.exact = own.o[-1] THEN coalesce(own.o[-2], 0) ELSE own.o[-1] END >> 1) AS context
             FROM h JOIN p ON h.doc_id = p.doc_id AND h.text = p.text AND h.line = p.line
                    JOIN own ON h.doc_id = own.doc_id AND h.text = own.text),
         r AS (

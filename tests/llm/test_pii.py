@@ -1,0 +1,66 @@
+"""Base spans against Python's regex module, linear time on hostile texts, and what the trees add."""
+
+import hashlib
+import re
+
+import pytest
+
+from tarnspark.llm import pii
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def ok(kind, s):
+    d = re.sub("[^0-9]", "", s)
+    return {"ip": lambda: all(int(p) <= 255 for p in s.split(".")), "card": lambda: 16 <= len(d) <= 19 and luhn(d), "phone": lambda: 8 <= len(d) <= 15}.get(kind, lambda: True)()
+
+
+TEXTS = [
+    None, "", "write to a.b+c@mail.example.com_x@y.org, or x@@y.z; a@b", "é漢 10.0.0.1.2.3.4.5 300.1.1.1 000255.1.1.01 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 +1 (499) 555-6503. +12 +1234567 +1 2 3 4 5 6 7 8 9",
+    "4111111111111111 4111111111111111", "+44 20 7946 0958+1 555 010 9999", "a@b.c.@d.e.f", "1" * 300, "x@y.z " * 700, "😀 +1 (499) 555-6503 😀 me@x.io",
+]
+
+
+@pytest.fixture(scope="module")
+def found(spark, docs):
+    return {r["doc_id"]: r for r in pii.digest(pii.find(docs(TEXTS, extra=True))).collect()}
+
+
+def test_base_spans(found):
+    assert len(found) == len(TEXTS)
+    for i, t in enumerate(TEXTS):
+        spans = [(k, m.start(), m.end()) for k in PLAIN for m in re.finditer(PLAIN[k], t or "") if ok(k, m[0])]
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        r = found[i]
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), (i, text, r["spans"])
+        assert [r[f"n_{k}"] for k in PLAIN] == [sum(s[0] == k for s in spans) for k in PLAIN]
+        assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
+
+
+def test_hostile_texts_are_linear(docs):
+    long = ["a" * 200_000, "1" * 200_000, "1." * 60_000, "1 " * 60_000, "a@" * 60_000, "+1 " * 60_000, "a.b@c." * 20_000, "(" * 100_000]
+    assert pii.digest(pii.find(docs(long))).count() == len(long)
+
+
+def test_added_spans(spark, docs):
+    texts = ["please call 555-867-5309 now", "reach jane [at] example [dot] com today", "amex card 3782 822463 10005", "order 123-45-6789 of 2021-03-04", "card 4111111111111112 is wrong", "plain words only at home", "version 1.22.3-4 and 12:30:45", "host 2001:db8::ff00:42:8329 up"]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(docs(texts))).collect()}
+    assert got[0] == "phone:12:24" and got[1].startswith("email:6:") and got[2].startswith("card:10:") and got[7].startswith("ip:5:")
+    assert not any(got[i] for i in (3, 4, 5, 6))
+
+
+def test_held_out_precision(spark):
+    trees, cuts = pii.fitted(spark)
+    _, held = pii.labelled_rows(spark, pii.N_EXAMPLES)
+    taken = [(y, x[0]) for x, y in held if sum(pii.apply_tree(t, x) for t in trees) >= cuts[x[0]]]
+    assert sum(y for y, _ in taken) / len(taken) >= 0.97
+    assert len(taken) / sum(y for _, y in held) >= 0.6
+
+
+def test_redacted(docs):
+    got = pii.redacted(docs(["mail a@b.co, ip 10.0.0.1.", None, "none"])).collect()
+    assert sorted(r["redacted"] for r in got) == ["", "mail <email>, ip <ip>.", "none"]
