@@ -24,8 +24,9 @@ def test_random_catalogues(spark, seed):
         got = sorted(view(r.asDict()) for r in C.CASES[name].frame(star, REF).collect())
         expected = want[name.removesuffix("_pruned")]
         assert len(got) == len(expected), name
+        near = 0.0101 if name == "q02" else 1e-8  # a mean that ends on half a cent may be rounded either way
         for g, w in zip(got, expected):
-            assert g == pytest.approx(w, abs=0.006 if name == "q02" else 1e-8) if not any(isinstance(x, str) for x in g) else all(a == b if isinstance(a, str) else a == pytest.approx(b, abs=0.006 if name == "q02" else 1e-8) for a, b in zip(g, w)), name
+            assert all(a == (b if isinstance(a, str) else pytest.approx(b, abs=near)) for a, b in zip(g, w)), (name, g, w)
 
 
 def test_ties_at_the_cutoff_and_order(spark):
