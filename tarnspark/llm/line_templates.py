@@ -32,7 +32,9 @@ MIN_TOKENS = 3
 MIN_GENERAL = 12
 #: Contexts from which on a template recurs, for lines of at least LONG tokens and for shorter ones.
 LONG, LONG_CONTEXTS, SHORT_CONTEXTS = 20, 3, 8
-VARIABLE = rf"(?<![^{SPACE}])(?:[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+|[a-z]++://[^{SPACE}]*+)"
+VARIABLE = r"[0-9@]|^[a-z]+://"
+#: A line without any of these has no variable field.
+MAYBE = r"[0-9@]|://"
 
 
 def _key(text: Column) -> Column:
@@ -43,31 +45,53 @@ def _key(text: Column) -> Column:
 def templates(tokens: Column) -> Column:
     """array<long>: the exact template's key first, then those of the generalised ones."""
     n = F.size(tokens)
-    name = lambda j, parts: _key(F.concat(F.lit(f"{j} "), n.cast("string"), F.lit(" "), F.array_join(parts, " ")))
     edge = lambda j: LEAD + F.floor((n - LEAD) * j / 4).cast("int")
-    general = [name(j + 1, F.concat(F.slice(tokens, F.lit(1), edge(j)), F.array(F.lit("<*>")), F.slice(tokens, edge(j + 1) + 1, n))) for j in range(4)]
-    exact = name(0, tokens)
-    return F.when(n >= MIN_GENERAL, F.array(exact, *general)).when(n >= MIN_TOKENS, F.array(exact)).otherwise(F.array().cast("array<long>"))
+    quarter = lambda j: F.array_join(F.slice(tokens, edge(j) + 1, edge(j + 1) - edge(j)), " ").alias(f"q{j}")
+    name = lambda j, *parts: _key(F.concat_ws(" ", F.lit(str(j)), n.cast("string"), *parts))
+    pieces = F.struct(F.array_join(F.slice(tokens, 1, LEAD), " ").alias("lead"), *map(quarter, range(4)))
 
+    def general(p: Column) -> Column:
+        kept = lambda gone: [F.lit("<*>") if i == gone else p[f"q{i}"] for i in range(4)]
+        return F.array(name(0, p["lead"], *kept(None)), *[name(j + 1, p["lead"], *kept(j)) for j in range(4)])
 
-def parsed(docs: DataFrame) -> DataFrame:
-    """doc_id, th, lines: (tokens, keys) of every line in order."""
-    split = lambda l: F.filter(F.split(l, f"[{SPACE}]+"), lambda t: t != "")
+    short = F.when(n >= MIN_TOKENS, F.array(name(0, F.array_join(tokens, " ")))).otherwise(F.array().cast("array<long>"))
+    return F.when(n >= MIN_GENERAL, let(pieces, general)).otherwise(short)
+
+
+def parsed(text: Column) -> Column:
+    """array<(n, keys)>: token count and template keys of every line in order."""
+    words = lambda l: F.array_remove(F.split(l, f"[{SPACE}]+"), "")
+    masked = lambda l: F.transform(words(l), lambda t: F.when(t.rlike(VARIABLE), "<*>").otherwise(t))
+    split = lambda l: F.when(l.rlike(MAYBE), masked(l)).otherwise(words(l))
     line = lambda l: let(split(l), lambda t: F.struct(F.size(t).alias("n"), templates(t).alias("keys")))
-    masked = F.regexp_replace("text", VARIABLE, "<*>")
-    return docs.select("doc_id", "th", F.transform(F.split(masked, "\n"), line).alias("lines"))
+    return F.transform(F.split(text, "\n"), line)
+
+
+def in_context(lines: Column) -> Column:
+    """array<(line, long, context, keys)>: the lines with what tells their document from others."""
+    own = F.array_sort(F.array_distinct(F.transform(F.filter(lines, lambda l: F.size(l["keys"]) > 0), lambda l: F.get(l["keys"], 0))))
+
+    def of(o: Column) -> Column:
+        end = lambda i: F.coalesce(F.try_element_at(o, F.lit(i)), F.lit(0))
+
+        def row(l: Column, i: Column) -> Column:
+            other = lambda at, next_: F.when(F.get(l["keys"], 0) == end(at), end(next_)).otherwise(end(at))
+            context = other(1, 2).bitwiseXOR(F.shiftright(other(-1, -2), 1))
+            return F.struct(i.alias("line"), (l["n"] >= LONG).alias("long"), context.alias("context"), l["keys"].alias("keys"))
+
+        return F.transform(lines, row)
+
+    return let(own, of)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """key, context, long, doc_id, th, line: a row for every template of every line."""
-    own = F.array_sort(F.array_distinct(F.transform(F.filter("lines", lambda l: F.size(l["keys"]) > 0), lambda l: F.get(l["keys"], 0))))
-    p = parsed(docs).select("doc_id", "th", "lines", own.alias("own"))
-    end = lambda i: F.coalesce(F.try_element_at("own", F.lit(i)), F.lit(0))
-    p = p.select("doc_id", "th", *[end(i).alias(n) for i, n in ((1, "lo0"), (2, "lo1"), (-1, "hi0"), (-2, "hi1"))], F.posexplode("lines").alias("line", "l"))
-    k = F.get("l.keys", 0)
-    other = lambda at, next_: F.when(k == F.col(at), F.col(next_)).otherwise(F.col(at))
-    context = other("lo0", "lo1").bitwiseXOR(F.shiftright(other("hi0", "hi1"), 1))
-    return p.select("doc_id", "th", "line", (F.col("l.n") >= LONG).alias("long"), context.alias("context"), F.explode("l.keys").alias("key"))
+    """key, context, long, doc_id, th, line: a row for every template of every line.
+
+    One expression, bound step by step: written as columns of their own, the lines would be parsed anew
+    for each use.
+    """
+    lines = docs.select("doc_id", "th", F.explode(let(parsed(F.col("text")), in_context)).alias("l"))
+    return lines.select("doc_id", "th", "l.line", "l.long", "l.context", F.explode("l.keys").alias("key"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
