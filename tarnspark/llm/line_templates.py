@@ -14,8 +14,9 @@ template the first line (least doc_id, then line) stays and the others are dropp
 All steps are grouped sums with map-side combining, so a template that a third of all lines shares is
 no hot spot.
 
-Defined cases: null text has no lines and stays null; lines of fewer than ``MIN_TOKENS`` tokens are
-never dropped; rows equal in doc_id and text are one document; ties go by doc_id, a hash of the text
+Defined cases: null text has no lines and stays null; blank lines are never dropped; a line of fewer
+than ``LEAD`` tokens that are all variable fields (a number, an unspaced sentence with a digit) stands
+for its own text; rows equal in doc_id and text are one document; ties go by doc_id, a hash of the text
 and the line number; extra columns are kept by ``deduplicated``; an empty table gives no rows.
 """
 
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from tarnspark.llm.common import SPACE, Scratch, fresh, let, text_or_empty
 
 LEAD = 3
-MIN_TOKENS = 3
 #: From this many tokens on a line has generalised templates too.
 MIN_GENERAL = 12
 #: Contexts from which on a template recurs, for lines of at least LONG tokens and for shorter ones.
@@ -54,15 +54,16 @@ def templates(tokens: Column) -> Column:
         kept = lambda gone: [F.lit("<*>") if i == gone else p[f"q{i}"] for i in range(4)]
         return F.array(name(0, p["lead"], *kept(None)), *[name(j + 1, p["lead"], *kept(j)) for j in range(4)])
 
-    short = F.when(n >= MIN_TOKENS, F.array(name(0, F.array_join(tokens, " ")))).otherwise(F.array().cast("array<long>"))
+    short = F.when(n > 0, F.array(name(0, F.array_join(tokens, " ")))).otherwise(F.array().cast("array<long>"))
     return F.when(n >= MIN_GENERAL, let(pieces, general)).otherwise(short)
 
 
 def parsed(text: Column) -> Column:
     """array<(n, keys)>: token count and template keys of every line in order."""
     words = lambda l: F.array_remove(F.split(l, f"[{SPACE}]+"), "")
-    masked = lambda l: F.transform(words(l), lambda t: F.when(t.rlike(VARIABLE), "<*>").otherwise(t))
-    split = lambda l: F.when(l.rlike(MAYBE), masked(l)).otherwise(words(l))
+    masked = lambda w: F.transform(w, lambda t: F.when(t.rlike(VARIABLE), "<*>").otherwise(t))
+    bare = lambda w: (F.size(w) < LEAD) & F.forall(w, lambda t: t.rlike(VARIABLE))
+    split = lambda l: F.when(l.rlike(MAYBE), let(words(l), lambda w: F.when(bare(w), w).otherwise(masked(w)))).otherwise(words(l))
     line = lambda l: let(split(l), lambda t: F.struct(F.size(t).alias("n"), templates(t).alias("keys")))
     return F.transform(F.split(text, "\n"), line)
 

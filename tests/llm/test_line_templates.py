@@ -46,3 +46,11 @@ def test_edges(docs, odd):
     assert L.report(df.limit(0)).count() == 0
     twice = docs([(1, LONG, "s"), (1, LONG, "s"), (None, f"{LONG}\nx y z", "s")])
     assert all(r["n_dropped"] == 0 for r in L.report(twice).collect())
+
+
+def test_short_and_unspaced_lines(docs):
+    rows = [f"{unique(i)}\nLes.\nAnd ornd.\n無断転載を禁じます\n{i}\n第{i}章、{chr(0x4E00 + i)}の話\n" for i in range(12)]
+    got = {r["doc_id"]: r for r in L.report(docs(rows)).collect()}
+    for i in range(12):
+        own = f"{unique(i)}\n{i}\n第{i}章、{chr(0x4E00 + i)}の話\n"
+        assert got[i]["text"] == (rows[0] if i == 0 else own)  # a number or sentence of one's own is no template
