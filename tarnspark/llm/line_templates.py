@@ -5,11 +5,14 @@ links are variable fields, "<*>"), then a leaf. In the leaf a line stands for it
 if it is long enough, for four generalised ones, each with one quarter of the remaining tokens as a
 variable field: two lines that differ inside one quarter share a template.
 
-A template recurs if it occurs in enough different documents. Documents are told apart by context, the
-least and the greatest template key among a document's other lines, so that copies of one document,
-changed lines apart, count as one: whole documents are near-dedup's business, and a pair of copies is
-not emptied line by line. Of a recurring
-template the first line (least doc_id, then line) stays and the others are dropped.
+A template recurs if it occurs in enough different documents, counted over doc_id and a hash of the
+text. Documents that op 8 puts into one component (near copies by their whole text) count as one: whole
+documents are near-dedup's business, and a pair of copies is not emptied line by line. Pages that share
+any number of lines and differ in the rest stay different documents. Of a recurring template the first
+line (least doc_id, then line) stays and the others are dropped.
+
+Templates of too few documents are dropped from the count before copies are looked at, so only lines
+that may go are joined with the components.
 
 All steps are grouped sums with map-side combining, so a template that a third of all lines shares is
 no hot spot.
@@ -25,13 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnspark.llm import near_dedup
 from tarnspark.llm.common import SPACE, Scratch, fresh, let, text_or_empty
 
 LEAD = 3
 #: From this many tokens on a line has generalised templates too.
 MIN_GENERAL = 12
-#: Contexts from which on a template recurs, for lines of at least LONG tokens and for shorter ones.
-LONG, LONG_CONTEXTS, SHORT_CONTEXTS = 20, 3, 8
+#: Documents, copies counted once, from which on a template recurs, for lines of at least LONG tokens and for shorter ones.
+LONG, LONG_DOCS, SHORT_DOCS = 20, 3, 8
+#: Near copies: op 8's shingle length and similarity.
+SHINGLE, PERCENT = 3, 85
 VARIABLE = r"[0-9@]|^[a-z]+://"
 #: A line without any of these has no variable field.
 MAYBE = r"[0-9@]|://"
@@ -68,44 +74,45 @@ def parsed(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), line)
 
 
-def in_context(lines: Column) -> Column:
-    """array<(line, long, context, keys)>: the lines with what tells their document from others."""
-    own = F.array_sort(F.array_distinct(F.transform(F.filter(lines, lambda l: F.size(l["keys"]) > 0), lambda l: F.get(l["keys"], 0))))
-
-    def of(o: Column) -> Column:
-        end = lambda i: F.coalesce(F.try_element_at(o, F.lit(i)), F.lit(0))
-
-        def row(l: Column, i: Column) -> Column:
-            other = lambda at, next_: F.when(F.get(l["keys"], 0) == end(at), end(next_)).otherwise(end(at))
-            context = other(1, 2).bitwiseXOR(F.shiftright(other(-1, -2), 1))
-            return F.struct(i.alias("line"), (l["n"] >= LONG).alias("long"), context.alias("context"), l["keys"].alias("keys"))
-
-        return F.transform(lines, row)
-
-    return let(own, of)
+def numbered(lines: Column) -> Column:
+    """array<(line, need, keys)>: the lines with the number of documents that makes them recur."""
+    need = lambda l: F.when(l["n"] >= LONG, LONG_DOCS).otherwise(SHORT_DOCS)
+    return F.transform(lines, lambda l, i: F.struct(i.alias("line"), need(l).alias("need"), l["keys"].alias("keys")))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """key, context, long, doc_id, th, line: a row for every template of every line.
+    """key, need, doc_id, th, line: a row for every template of every line.
 
     One expression, bound step by step: written as columns of their own, the lines would be parsed anew
     for each use.
     """
-    lines = docs.select("doc_id", "th", F.explode(let(parsed(F.col("text")), in_context)).alias("l"))
-    return lines.select("doc_id", "th", "l.line", "l.long", "l.context", F.explode("l.keys").alias("key"))
+    lines = docs.select("doc_id", "th", F.explode(let(parsed(F.col("text")), numbered)).alias("l"))
+    return lines.select("doc_id", "th", "l.line", "l.need", F.explode("l.keys").alias("key"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """c_id, c_th, copy: the component of near copies of every document."""
+    found = near_dedup.near_duplicates(docs, SHINGLE, PERCENT, internal=True)
+    return found.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), F.col("label").alias("copy")).dropDuplicates(["c_id", "c_th"])
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, drop: numbers of the lines to drop, for the documents that have any."""
     scratch = Scratch(docs.sparkSession)
     seen = scratch.keep(occurrences(docs))
-    at = F.struct("doc_id", "th", "line")
-    by_context = seen.groupBy("key", "long", "context").agg(F.min(at).alias("first"))
-    by = by_context.groupBy("key", "long").agg(F.count(F.lit(1)).alias("c"), F.min("first").alias("first"))
-    recurring = by.where((F.col("long") & (F.col("c") >= LONG_CONTEXTS)) | (~F.col("long") & (F.col("c") >= SHORT_CONTEXTS))).select("key", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"), F.col("first.line").alias("f_line"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("line") == F.col("f_line"))
-    out = scratch.keep(seen.join(recurring, "key").where(~is_first).groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")))
+    by_doc = seen.groupBy("key", "need", "doc_id", "th").agg(F.lit(1).alias("one"))
+    often = by_doc.groupBy("key", "need").agg(F.count(F.lit(1)).alias("c")).where("c >= need").select("key")
+    hits = scratch.keep(seen.join(often, "key"))
     scratch.drop(seen)
+    same = scratch.keep(copies(docs))
+    told = hits.join(same, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")))
+    by_copy = told.groupBy("key", "need", "copy").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"))
+    by = by_copy.groupBy("key", "need").agg(F.count(F.lit(1)).alias("c"), F.min("first").alias("first"))
+    recurring = by.where("c >= need").select("key", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"), F.col("first.line").alias("f_line"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("line") == F.col("f_line"))
+    out = scratch.keep(hits.join(recurring, "key").where(~is_first).groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")))
+    scratch.drop(hits)
+    scratch.drop(same)
     return out
 
 

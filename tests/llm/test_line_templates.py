@@ -54,3 +54,12 @@ def test_short_and_unspaced_lines(docs):
     for i in range(12):
         own = f"{unique(i)}\n{i}\n第{i}章、{chr(0x4E00 + i)}の話\n"
         assert got[i]["text"] == (rows[0] if i == 0 else own)  # a number or sentence of one's own is no template
+
+
+def test_pages_that_share_a_block_count_one_by_one(docs):
+    block = [f"{a} {b}" for a in ("Home", "About", "Contact", "Terms") for b in ("page", "menu", "site", "shop", "help")]
+    own = [" ".join(chr(97 + (i * 7 + j * 3) % 26) * 2 + chr(97 + (i + j) % 26) + chr(97 + i % 26) for j in range(60)) for i in range(10)]
+    rows = ["\n".join([*block, o]) for o in own] + ["\n".join(["alike", "as ever"])] * 12
+    got = {r["doc_id"]: r for r in L.report(docs(rows)).collect()}
+    assert [got[i]["text"] for i in range(10)] == [rows[0], *own[1:]]
+    assert all(got[i]["n_dropped"] == 0 for i in range(10, 22))
