@@ -36,6 +36,8 @@ LEAD = 3
 MIN_GENERAL = 12
 #: Documents, copies counted once, from which on a template recurs, for lines of at least LONG tokens and for shorter ones.
 LONG, LONG_DOCS, SHORT_DOCS = 20, 3, 8
+#: Words from which on a line's exact template recurs from this many documents on.
+PASSAGE, PASSAGE_DOCS = 50, 2
 #: Near copies: op 8's shingle length and similarity.
 SHINGLE, PERCENT = 3, 85
 VARIABLE = r"[0-9@]|^[a-z]+://"
@@ -75,9 +77,10 @@ def parsed(text: Column) -> Column:
 
 
 def numbered(lines: Column) -> Column:
-    """array<(line, need, keys)>: the lines with the number of documents that makes them recur."""
-    need = lambda l: F.when(l["n"] >= LONG, LONG_DOCS).otherwise(SHORT_DOCS)
-    return F.transform(lines, lambda l, i: F.struct(i.alias("line"), need(l).alias("need"), l["keys"].alias("keys")))
+    """array<(line, keys)>: the lines, each key with the number of documents that makes it recur."""
+    need = lambda n, j: F.when((n >= PASSAGE) & (j == 0), PASSAGE_DOCS).when(n >= LONG, LONG_DOCS).otherwise(SHORT_DOCS)
+    keys = lambda l: F.transform(l["keys"], lambda k, j: F.struct(k.alias("key"), need(l["n"], j).alias("need")))
+    return F.transform(lines, lambda l, i: F.struct(i.alias("line"), keys(l).alias("keys")))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -87,7 +90,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     for each use.
     """
     lines = docs.select("doc_id", "th", F.explode(let(parsed(F.col("text")), numbered)).alias("l"))
-    return lines.select("doc_id", "th", "l.line", "l.need", F.explode("l.keys").alias("key"))
+    return lines.select("doc_id", "th", "l.line", F.explode("l.keys").alias("k")).select("doc_id", "th", "line", "k.need", "k.key")
 
 
 def copies(docs: DataFrame) -> DataFrame:

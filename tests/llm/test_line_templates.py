@@ -63,3 +63,12 @@ def test_pages_that_share_a_block_count_one_by_one(docs):
     got = {r["doc_id"]: r for r in L.report(docs(rows)).collect()}
     assert [got[i]["text"] for i in range(10)] == [rows[0], *own[1:]]
     assert all(got[i]["n_dropped"] == 0 for i in range(10, 22))
+
+
+def test_passage_in_two_documents(docs):
+    text = lambda i, n: " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}{chr(97 + i)}" for j in range(n))
+    passage, short = text(0, 50), text(1, 49)
+    pair = [f"{passage}\n{short}\n{text(i, 60)}" for i in (2, 3)]
+    copied = [f"{text(4, 200)}\n{text(5, 50)}\n{x}" for x in ("here", "there")]
+    got = {r["doc_id"]: r["text"] for r in L.report(docs(pair + copied)).collect()}
+    assert got == {0: pair[0], 1: f"{short}\n{text(3, 60)}", 2: copied[0], 3: copied[1]}
