@@ -2,7 +2,9 @@
 
 Overlapping heuristic labellers vote on every document (bad, good or no vote). The votes of all
 documents are counted by pattern, and expectation-maximisation over those counts estimates how each
-labeller votes on good and on bad documents and how common bad ones are; no hand labels are used.
+labeller votes on bad documents and how common bad ones are; no hand labels are used. How rarely a
+labeller votes bad on good documents is set, not estimated (``FALSE_ALARM``): junk that trips a single
+labeller and clean text that does are not told apart by votes alone.
 The posterior of a document's pattern is its label. A linear scorer over hashed features, word shapes
 and binned text statistics, is trained on a bounded sample of labelled rows (``SAMPLE``, drawn by
 hash) and then scores every whole text; documents scoring under ``THRESHOLD`` are rejected.
