@@ -38,7 +38,7 @@ BASE = {
 }
 WIDE = {
     "email": r"(?:(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20)[\p{L}\p{N}-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[\p{L}\p{N}-]{2,63}){1,4})",
-    "ip": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7})(?![\p{L}\p{N}:])",
+    "ip": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}|[0-9A-Fa-f]{1,4}::[0-9A-Fa-f]{1,4})(?![\p{L}\p{N}:])",
     "num": r"(?<![\p{L}\p{N}.,])\+?+[0-9(][0-9()./\x20-]{5,30}[0-9](?![\p{L}\p{N}])",
 }
 #: Cheap tests that a text must pass before a pattern is run on it.
@@ -71,6 +71,8 @@ SHAPES = (
 )
 #: Leading digits and lengths of card issuers.
 ISSUERS = (r"3[47][0-9]{13}", r"4(?:[0-9]{12}|[0-9]{15})", r"(?:5[1-5]|2[2-7])[0-9]{14}", r"3[068][0-9]{12}", r"6[0-9]{15,18}")
+#: A generator for each shape: numbers inside a longer run of digits and separators.
+INNER = tuple(rf"(?<![\p{{L}}\p{{N}}.,])(?:{p})(?![\p{{L}}\p{{N}}])" for p in SHAPES)
 FEATURES = ("kind", "digits", "groups", "shape", "luhn", "hint", "before", "plain", "colons", "issuer")
 
 
@@ -146,11 +148,14 @@ def featured(text: Column, c: Column, kind: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Overlapping proposals with features: a number is proposed both as a card and as a phone."""
+    """Overlapping proposals with features: a run of digits and every number of a known shape in it, each as a card and as a phone."""
 
     def of(t: Column) -> Column:
-        named = lambda gen, kind: F.transform(spans(t, WIDE[gen], WIDE_NEEDS[gen]), lambda c: featured(t, c, F.lit(kind)))
-        return F.concat(named("email", 0), named("ip", 1), named("num", 2), named("num", 3))
+        as_ = lambda found, kind: F.transform(found, lambda c: featured(t, c, F.lit(kind)))
+        named = lambda gen, kind: as_(spans(t, WIDE[gen], WIDE_NEEDS[gen]), kind)
+        inner = F.when(t.rlike(WIDE_NEEDS["num"]), F.concat(*[spans(t, p, p) for p in INNER])).otherwise(F.array().cast(SPAN))
+        numbers = F.array_distinct(F.concat(spans(t, WIDE["num"], WIDE_NEEDS["num"]), inner))
+        return F.concat(named("email", 0), named("ip", 1), let(numbers, lambda n: F.concat(as_(n, 2), as_(n, 3))))
 
     rest = text
     for kind in KINDS:
@@ -166,6 +171,8 @@ N_EXAMPLES = 1200
 ROUNDS = 24
 RATE = 0.4
 PRECISION = 0.98
+#: Accepted candidates on each side, by kind and place, that one is compared with.
+NEIGHBOURS = 24
 
 
 def _card(r: random.Random, n: int, start: str) -> str:
@@ -275,7 +282,8 @@ def thresholds(trees: list[tuple], held: list[tuple[tuple[int, ...], int]], prec
 def labelled_rows(spark: SparkSession, n: int) -> tuple[list, list]:
     made = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(examples(n))), "array<struct<id:int,text:string,kind:int,low:int,high:int,label:int>>")).alias("e")).select("e.*")
     found = made.select("id", "kind", "low", "high", "label", F.explode(candidates(F.col("text"))).alias("c")).where("c.start < high and c.end > low").collect()
-    rows = [(r["id"], tuple(r["c"][f] for f in FEATURES), int(r["label"] and r["c"]["kind"] == r["kind"])) for r in found]
+    whole = lambda r: r["kind"] < 2 or (r["c"]["start"], r["c"]["end"]) == (r["low"], r["high"])
+    rows = [(r["id"], tuple(r["c"][f] for f in FEATURES), int(r["label"] and r["c"]["kind"] == r["kind"] and whole(r))) for r in found]
     return [(x, y) for i, x, y in rows if i // 2 % 2], [(x, y) for i, x, y in rows if not i // 2 % 2]
 
 
@@ -291,6 +299,18 @@ def fitted(spark: SparkSession, n: int = N_EXAMPLES) -> tuple[list[tuple], list[
     return _models[n]
 
 
+def best(found: Column) -> Column:
+    """Of candidates of one kind that overlap, those that no better one overlaps; neighbours in order of place."""
+    rank = lambda c: F.struct(c["margin"], c["end"] - c["start"], -c["start"])
+
+    def of(a: Column) -> Column:
+        near = lambda i: F.slice(a, F.greatest(i - NEIGHBOURS, F.lit(0)) + 1, F.lit(2 * NEIGHBOURS + 1))
+        beats = lambda c: lambda d: (d["kind"] == c["kind"]) & (d["start"] < c["end"]) & (c["start"] < d["end"]) & (rank(d) > rank(c))
+        return F.filter(a, lambda c, i: ~F.exists(near(i), beats(c)))
+
+    return let(F.array_sort(found), of)
+
+
 def find(docs: DataFrame, model: tuple | None = None) -> DataFrame:
     """doc_id, base (spans by kind, as in the patterns), added (kind, start, end of accepted candidates)."""
     trees, cuts = model or fitted(docs.sparkSession)
@@ -298,6 +318,7 @@ def find(docs: DataFrame, model: tuple | None = None) -> DataFrame:
     cut = lambda c: F.get(F.array(*[F.lit(float(min(x, 1e9))) for x in cuts]), c["kind"])
     scored = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), (model_expression(trees, c) - cut(c)).alias("margin"))
     added = F.filter(F.transform(candidates(F.col("text")), scored), lambda c: c["margin"] >= 0)
+    added = best(added)
     return t.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], added.alias("added"))
 
 

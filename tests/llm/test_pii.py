@@ -53,6 +53,16 @@ def test_added_spans(spark, docs):
     assert not any(got[i] for i in (3, 4, 5, 6))
 
 
+def test_numbers_next_to_numbers(docs):
+    texts = ["call 212-555-1234 212-555-9876 now", "on 2024-01-05 212-555-1234 rang", "call 212-555-1234 2 times", "host fe80::1 up", "on some day 212-555-1234 rang"]
+    df = docs(texts)
+    proposed = {r["doc_id"]: {(c["kind"], c["start"], c["end"]) for c in r["c"]} for r in df.select("doc_id", pii.candidates(df["text"]).alias("c")).collect()}
+    assert {(3, 5, 17), (3, 18, 30), (2, 18, 30)} <= proposed[0] and {(3, 3, 13), (3, 14, 26)} <= proposed[1] and (3, 5, 17) in proposed[2]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(df)).collect()}
+    assert got[0].split(",")[0] == got[2] == "phone:5:17" and got[3] == "ip:5:12"
+    assert bool(got[1]) == bool(got[4])  # scored as it is without its neighbour
+
+
 def test_held_out_precision(spark):
     trees, cuts = pii.fitted(spark)
     _, held = pii.labelled_rows(spark, pii.N_EXAMPLES)
