@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,12 +18,15 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """Folder of ``spark.checkpoint.dir``. Where that is unset: a temporary one in local mode, an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="tarnspark-"))
-        at = _own_dir[0]
+            _own_dir.append(tempfile.mkdtemp(prefix="tarnspark-"))
+            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+        at = "file://" + _own_dir[0]
     return at.rstrip("/")
 
 
@@ -76,6 +81,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Most keys that ``split_join`` sends to every task.
+HOT_KEYS = 4096
+
+
+def split_join(facts: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join on ``key`` of which ``keyed`` has one row each, with ``count``, at least 1, of the facts that may match.
+
+    Keys that hold more than 1 / HOT_KEYS of all counts are fewer than HOT_KEYS whatever the input; they
+    are broadcast, so their facts stay where they are. The rest goes through a shuffle in which no key
+    holds more than that share.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    bound = max(1000, total // HOT_KEYS)
+    hot = F.broadcast(keyed.where(F.col(count) > bound))
+    cold = keyed.where(F.col(count) <= bound)
+    if not keyed.where(F.col(count) > bound).limit(1).count():
+        return facts.join(cold, key)
+    rest = facts.join(F.broadcast(keyed.where(F.col(count) > bound).select(key)), key, "left_anti")
+    return facts.join(hot, key).unionByName(rest.join(cold, key))
+
+
 def prefix_sums(arr: Column, block: int = 256) -> Column:
     """Exclusive prefix sums of an array<int>; two levels, so long arrays stay near linear."""
     zero = F.array(F.lit(0).cast("int"))

@@ -1,21 +1,26 @@
 """Op 6: line dedup by a log-template tree.
 
 A line is parsed at fixed depth: its token count, its leading tokens (tokens with digits, addresses and
-links are variable fields, "<*>"), then a leaf. In the leaf a line stands for its exact template and,
-if it is long enough, for four generalised ones, each with one quarter of the remaining tokens as a
-variable field: two lines that differ inside one quarter share a template.
-
-A template recurs if it occurs in enough different documents, counted over doc_id and a hash of the
-text. Documents that op 8 puts into one component (near copies by their whole text) count as one: whole
-documents are near-dedup's business, and a pair of copies is not emptied line by line. Pages that share
-any number of lines and differ in the rest stay different documents. Of a recurring template the first
-line (least doc_id, then line) stays and the others are dropped.
-
-Templates of too few documents are dropped from the count before copies are looked at, so only lines
-that may go are joined with the components.
-
-All steps are grouped sums with map-side combining, so a template that a third of all lines shares is
-no hot spot.
+links are variable fields, "<*>"), then a leaf. In the leaf a line stands for its exact template and for
+generalised ones in which a stretch of the remaining tokens is a variable field: lines of ``WIDE`` tokens
+or more with one quarter of them variable, lines of ``NARROW`` or more with any ``GAP`` neighbouring ones.
+
+A template's documents are counted, distinct by doc_id and a hash of the text. It recurs from
+``SHORT_DOCS`` on, lines of ``LONG`` tokens from ``LONG_DOCS``, an exact template of ``PASSAGE`` words from
+``PASSAGE_DOCS``. Whole copies are near-dedup's business and count as one: a document is a copy if nearly
+all its words stand in lines whose branch of the tree (token count and the first, or the last, ``LEAD``
+tokens) other documents hold too; then it counts as the document that first holds the most of its words.
+A document with a line of its own is never a copy, however many lines it shares; neither is a document
+of one line.
+
+A line is dropped if it has a recurring template, unless it is the first (least doc_id, hash, line) of
+any of its recurring templates or of an exact template that two or more documents hold. So what several
+documents state stays once; a line whose variable fields no other document has may go for good, as
+generalising means.
+
+Counts are grouped sums with map-side combining. Joins by template send the few most frequent templates
+to every task (a number bounded whatever the corpus) and the rest through a shuffle in which no template
+is frequent.
 
 Defined cases: null text has no lines and stays null; blank lines are never dropped; a line of fewer
 than ``LEAD`` tokens that are all variable fields (a number, an unspaced sentence with a digit) stands
@@ -28,97 +33,110 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm import near_dedup
-from tarnspark.llm.common import SPACE, Scratch, fresh, let, text_or_empty
+from tarnspark.llm.common import SPACE, Scratch, fresh, let, split_join, text_or_empty
 
 LEAD = 3
-#: From this many tokens on a line has generalised templates too.
-MIN_GENERAL = 12
+#: Tokens from which on a line has generalised templates: any GAP neighbouring tokens, or one quarter.
+NARROW, GAP, WIDE = 6, 2, 12
 #: Documents, copies counted once, from which on a template recurs, for lines of at least LONG tokens and for shorter ones.
 LONG, LONG_DOCS, SHORT_DOCS = 20, 3, 8
 #: Words from which on a line's exact template recurs from this many documents on.
 PASSAGE, PASSAGE_DOCS = 50, 2
-#: Near copies: op 8's shingle length and similarity.
-SHINGLE, PERCENT = 3, 85
+#: A document has lines of its own if they make up this many words and this share of its words.
+OWN_WORDS, OWN_SHARE = 8, 0.05
 VARIABLE = r"[0-9@]|^[a-z]+://"
 #: A line without any of these has no variable field.
 MAYBE = r"[0-9@]|://"
+#: Kinds of keys: exact template, generalised ones, and the branches by first and by last tokens.
+EXACT, GENERAL, HEAD, TAIL = 0, 1, 2, 3
 
 
-def _key(text: Column) -> Column:
-    """60 bits of MD5: the same in any SQL engine."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
-def templates(tokens: Column) -> Column:
-    """array<long>: the exact template's key first, then those of the generalised ones."""
+def keys_of(tokens: Column) -> Column:
+    """array<(kind, key)>: the exact template, the generalised ones, and the line's two branches."""
     n = F.size(tokens)
-    edge = lambda j: LEAD + F.floor((n - LEAD) * j / 4).cast("int")
-    quarter = lambda j: F.array_join(F.slice(tokens, edge(j) + 1, edge(j + 1) - edge(j)), " ").alias(f"q{j}")
-    name = lambda j, *parts: _key(F.concat_ws(" ", F.lit(str(j)), n.cast("string"), *parts))
-    pieces = F.struct(F.array_join(F.slice(tokens, 1, LEAD), " ").alias("lead"), *map(quarter, range(4)))
-
-    def general(p: Column) -> Column:
-        kept = lambda gone: [F.lit("<*>") if i == gone else p[f"q{i}"] for i in range(4)]
-        return F.array(name(0, p["lead"], *kept(None)), *[name(j + 1, p["lead"], *kept(j)) for j in range(4)])
+    part = lambda lo, hi: F.array_join(F.slice(tokens, lo + 1, hi - lo), " ")
+    named = lambda kind, *parts: F.struct(F.lit(kind).cast("byte").alias("kind"), F.xxhash64(F.lit(kind), n, *parts).alias("key"))
+    whole = F.array_join(tokens, " ")
+    least = F.least(F.lit(LEAD), n)
+    always = F.array(named(EXACT, whole), named(HEAD, part(F.lit(0), least)), named(TAIL, part(n - least, n)))
 
-    short = F.when(n > 0, F.array(name(0, F.array_join(tokens, " ")))).otherwise(F.array().cast("array<long>"))
-    return F.when(n >= MIN_GENERAL, let(pieces, general)).otherwise(short)
+    edge = lambda j: LEAD + F.floor((n - LEAD) * j / 4).cast("int")
+    quarters = F.array(*[named(GENERAL, F.lit(j), part(F.lit(0), edge(j)), part(edge(j + 1), n)) for j in range(4)])
+    gaps = F.transform(F.sequence(F.lit(GAP), n - GAP), lambda i: named(GENERAL, i, part(F.lit(0), i), part(i + GAP, n)))
+    return F.when(n >= WIDE, F.concat(always, quarters)).when(n >= NARROW, F.concat(always, gaps)).when(n > 0, always).otherwise(F.slice(always, 1, 0))
 
 
 def parsed(text: Column) -> Column:
-    """array<(n, keys)>: token count and template keys of every line in order."""
+    """array<(n, keys)>: token count and keys of every line in order."""
     words = lambda l: F.array_remove(F.split(l, f"[{SPACE}]+"), "")
     masked = lambda w: F.transform(w, lambda t: F.when(t.rlike(VARIABLE), "<*>").otherwise(t))
     bare = lambda w: (F.size(w) < LEAD) & F.forall(w, lambda t: t.rlike(VARIABLE))
-    split = lambda l: F.when(l.rlike(MAYBE), let(words(l), lambda w: F.when(bare(w), w).otherwise(masked(w)))).otherwise(words(l))
-    line = lambda l: let(split(l), lambda t: F.struct(F.size(t).alias("n"), templates(t).alias("keys")))
+    tokens = lambda l: F.when(l.rlike(MAYBE), let(words(l), lambda w: F.when(bare(w), w).otherwise(masked(w)))).otherwise(words(l))
+    line = lambda l: let(tokens(l), lambda t: F.struct(F.size(t).alias("n"), keys_of(t).alias("keys")))
     return F.transform(F.split(text, "\n"), line)
 
 
-def numbered(lines: Column) -> Column:
-    """array<(line, keys)>: the lines, each key with the number of documents that makes it recur."""
-    need = lambda n, j: F.when((n >= PASSAGE) & (j == 0), PASSAGE_DOCS).when(n >= LONG, LONG_DOCS).otherwise(SHORT_DOCS)
-    keys = lambda l: F.transform(l["keys"], lambda k, j: F.struct(k.alias("key"), need(l["n"], j).alias("need")))
-    return F.transform(lines, lambda l, i: F.struct(i.alias("line"), keys(l).alias("keys")))
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """key, need, doc_id, th, line: a row for every template of every line.
+def lines_of(docs: DataFrame) -> DataFrame:
+    """who, doc_id, th, words (of the document), line, n, keys: a row for every line that is not blank.
 
     One expression, bound step by step: written as columns of their own, the lines would be parsed anew
     for each use.
     """
-    lines = docs.select("doc_id", "th", F.explode(let(parsed(F.col("text")), numbered)).alias("l"))
-    return lines.select("doc_id", "th", "l.line", F.explode("l.keys").alias("k")).select("doc_id", "th", "line", "k.need", "k.key")
+    total = lambda ls: F.aggregate(ls, F.lit(0).cast("long"), lambda a, l: a + l["n"])
+    solid = lambda ls: F.size(F.filter(ls, lambda l: l["n"] > 0))
+    rows = lambda ls: F.filter(F.transform(ls, lambda l, i: F.struct(i.alias("line"), l["n"].alias("n"), l["keys"].alias("keys"))), lambda l: l["n"] > 0)
+    one = let(parsed(F.col("text")), lambda ls: F.struct(total(ls).alias("words"), solid(ls).alias("solid"), rows(ls).alias("rows")))
+    exploded = docs.select("doc_id", "th", F.inline(F.array(one))).select("doc_id", "th", "words", "solid", F.explode("rows").alias("l"))
+    return exploded.select(F.xxhash64("doc_id", "th").alias("who"), "doc_id", "th", "words", "solid", "l.line", "l.n", "l.keys")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """c_id, c_th, copy: the component of near copies of every document."""
-    found = near_dedup.near_duplicates(docs, SHINGLE, PERCENT, internal=True)
-    return found.select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th"), F.col("label").alias("copy")).dropDuplicates(["c_id", "c_th"])
+def need() -> Column:
+    """Documents that make a template recur, from its kind and the line's length."""
+    return F.when((F.col("n") >= PASSAGE) & (F.col("kind") == EXACT), PASSAGE_DOCS).when(F.col("n") >= LONG, LONG_DOCS).otherwise(SHORT_DOCS)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, drop: numbers of the lines to drop, for the documents that have any."""
     scratch = Scratch(docs.sparkSession)
-    seen = scratch.keep(occurrences(docs))
-    by_doc = seen.groupBy("key", "need", "doc_id", "th").agg(F.lit(1).alias("one"))
-    often = by_doc.groupBy("key", "need").agg(F.count(F.lit(1)).alias("c")).where("c >= need").select("key")
-    hits = scratch.keep(seen.join(often, "key"))
-    scratch.drop(seen)
-    same = scratch.keep(copies(docs))
-    told = hits.join(same, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")))
-    by_copy = told.groupBy("key", "need", "copy").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"))
-    by = by_copy.groupBy("key", "need").agg(F.count(F.lit(1)).alias("c"), F.min("first").alias("first"))
-    recurring = by.where("c >= need").select("key", F.col("first.doc_id").alias("f_id"), F.col("first.th").alias("f_th"), F.col("first.line").alias("f_line"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")) & (F.col("line") == F.col("f_line"))
-    out = scratch.keep(hits.join(recurring, "key").where(~is_first).groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")))
-    scratch.drop(hits)
-    scratch.drop(same)
+    lines = scratch.keep(lines_of(docs))
+    every = lines.select("who", "doc_id", "th", "words", "solid", "line", "n", F.explode("keys").alias("k")).select("who", "doc_id", "th", "words", "solid", "line", "n", "k.kind", "k.key")
+    # a key's documents and its first line: copies of a row and repeats inside a document count once
+    by_doc = every.groupBy("key", "doc_id", "th").agg(F.min("line").alias("line"))
+    by = by_doc.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "th", "line")).alias("first"))
+    shared = scratch.keep(by.where("docs > 1").select("key", "docs", F.col("first.doc_id").alias("f_doc"), F.xxhash64("first.doc_id", "first.th").alias("f_who"), F.col("first.line").alias("f_line")))
+    hits = split_join(every, shared, "key", "docs")
+    hits = scratch.keep(hits.select("who", "doc_id", "th", "words", "solid", "line", "n", "kind", "key", "docs", "f_doc", "f_who", ((F.col("who") == F.col("f_who")) & (F.col("line") == F.col("f_line"))).alias("is_first")))
+    scratch.drop(lines)
+    scratch.drop(shared)
+    same = scratch.keep(copies(hits))
+    able = hits.where(f"kind = {GENERAL} or kind = {EXACT}").where(F.col("docs") >= need())
+    counted = able.select("who", "key", need().alias("need")).join(same, "who", "left").select("key", "need", F.coalesce("as", "who").alias("who"))
+    recurring = counted.groupBy("key", "need", "who").agg(F.lit(1).alias("one")).groupBy("key", "need").agg(F.count(F.lit(1)).alias("c")).where("c >= need").select("key", F.col("c").alias("r_c"))
+    recurring = scratch.keep(recurring)
+    of = split_join(able.select("doc_id", "th", "line", "is_first", "key"), recurring, "key", "r_c").select("doc_id", "th", "line", F.lit(True).alias("recurs"), "is_first")
+    firsts = hits.where(f"kind = {EXACT} and is_first").select("doc_id", "th", "line", F.lit(False).alias("recurs"), "is_first")
+    told = of.unionByName(firsts).groupBy("doc_id", "th", "line").agg(F.max("recurs").alias("recurs"), F.max("is_first").alias("is_first"))
+    out = scratch.keep(told.where("recurs and not is_first").groupBy("doc_id", "th").agg(F.collect_set("line").alias("drop")))
+    for done in (hits, same, recurring):
+        scratch.drop(done)
     return out
 
 
+def copies(hits: DataFrame) -> DataFrame:
+    """who, as: the documents without lines of their own that are no single line, each with the one it copies.
+
+    That is the document which first holds the branches of the most of its words (ties: least doc_id, hash).
+    """
+    branch = hits.where(f"kind = {HEAD} or kind = {TAIL}").where("solid > 1")
+    known = branch.groupBy("who", "words", "line", "n").agg(F.min("kind").alias("kind")).groupBy("who", "words").agg(F.sum("n").alias("shared"))
+    own = F.col("words") - F.col("shared")
+    without = known.where((own < OWN_WORDS) | (own < OWN_SHARE * F.col("words"))).select(F.col("who").alias("w"))
+    # of a document's lines each counts for one branch, by preference the first
+    held = branch.groupBy("who", "line", "n").agg(F.min(F.struct("kind", "f_doc", "f_who")).alias("f")).select("who", "n", "f.f_doc", "f.f_who")
+    by = held.groupBy("who", "f_doc", "f_who").agg(F.sum("n").alias("n")).groupBy("who").agg(F.min(F.struct((-F.col("n")).alias("n"), "f_doc", "f_who"))["f_who"].alias("as"))
+    return by.join(without, F.col("who") == F.col("w"), "left_semi")
+
+
 def marked(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
     """The rows of ``docs`` joined with their decisions; numbers of the lines to drop (or null); the text without them."""
     th = F.xxhash64(text_or_empty())

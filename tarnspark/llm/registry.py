@@ -117,40 +117,44 @@ ORACLES: dict[str, str] = {
     """,
     "op6_template_tree": r"""
         WITH l AS (
-            SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS s
+            SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS s
             FROM documents WHERE text <> ''),
+        v AS (SELECT doc_id, line, list_filter(regexp_split_to_array(s, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS raw FROM l),
         t AS (
-            SELECT doc_id, text, line,
-                   list_transform(list_filter(regexp_split_to_array(s, '[\x20\x09-\x0D]+'), lambda x: x <> ''),
-                                  lambda x: CASE WHEN regexp_matches(x, '[0-9@]|^[a-z]+://') THEN '<*>' ELSE x END) AS w
-            FROM l),
+            SELECT doc_id, line, len(raw) AS n,
+                   CASE WHEN len(raw) < 3 AND len(list_filter(raw, lambda x: regexp_matches(x, '[0-9@]|^[a-z]+://'))) = len(raw) THEN raw
+                        ELSE list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9@]|^[a-z]+://') THEN '<*>' ELSE x END) END AS w
+            FROM v WHERE len(raw) > 0),
+        d AS (SELECT doc_id, sum(n) AS words, count(*) AS solid FROM t GROUP BY doc_id),
         k AS (
-            SELECT doc_id, text, line, len(w) AS n, unnest(
-                CASE WHEN len(w) >= 12 THEN
-                    ['0 ' || len(w) || ' ' || array_to_string(w, ' ')] || list_transform([0, 1, 2, 3], lambda j:
-                        (j + 1) || ' ' || len(w) || ' ' || array_to_string(w[1:3 + (len(w) - 3) * j // 4] || ['<*>'] || w[4 + (len(w) - 3) * (j + 1) // 4:], ' '))
-                WHEN len(w) >= 3 THEN ['0 ' || len(w) || ' ' || array_to_string(w, ' ')] ELSE [] END) AS name
+            SELECT doc_id, line, n, unnest(
+                ['0 ' || n || ' ' || array_to_string(w, ' '), '2 ' || n || ' ' || array_to_string(w[1:3], ' '), '3 ' || n || ' ' || array_to_string(w[greatest(1, n - 2):], ' ')]
+                || CASE WHEN n >= 12 THEN list_transform([0, 1, 2, 3], lambda j:
+                        '1 ' || n || ' ' || j || ' ' || array_to_string(w[1:3 + (n - 3) * j // 4] || ['<gap>'] || w[4 + (n - 3) * (j + 1) // 4:], ' '))
+                   WHEN n >= 6 THEN list_transform(range(2, n - 1), lambda i:
+                        '1 ' || n || ' ' || i || ' ' || array_to_string(w[1:i] || ['<gap>'] || w[i + 3:], ' '))
+                   ELSE [] END) AS key
             FROM t),
-        h AS (SELECT doc_id, text, line, n >= 20 AS long, name[1:2] = '0 ' AS plain, CAST('0x' || md5(name)[1:15] AS BIGINT) AS key FROM k),
-        own AS (
-            SELECT doc_id, text, list_sort(list_distinct(list(key))) AS o FROM h WHERE plain GROUP BY ALL),
-        p AS (SELECT doc_id, text, line, key AS exact FROM h WHERE plain),
-        o AS (
-            SELECT h.doc_id, h.text, h.line, h.long, h.key,
-                   xor(CASE WHEN p.exact = own.o[1] THEN coalesce(own.o[2], 0) ELSE own.o[1] END,
-                       CASE WHEN p.exact = own.o[-1] THEN coalesce(own.o[-2], 0) ELSE own.o[-1] END >> 1) AS context
-            FROM h JOIN p ON h.doc_id = p.doc_id AND h.text = p.text AND h.line = p.line
-                   JOIN own ON h.doc_id = own.doc_id AND h.text = own.text),
+        c AS (SELECT key, count(DISTINCT doc_id) AS docs, min({'d': doc_id, 'l': line}) AS first FROM k GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+        h AS (
+            SELECT k.*, docs, first, key[1] AS kind, doc_id = first.d AND line = first.l AS is_first,
+                   CASE WHEN n >= 50 AND key[1] = '0' THEN 2 WHEN n >= 20 THEN 3 ELSE 8 END AS need FROM k JOIN c USING (key)),
+        b AS (
+            SELECT h.doc_id, words, line, n, arg_min(first.d, kind) AS f_doc FROM h JOIN d ON h.doc_id = d.doc_id
+            WHERE kind IN ('2', '3') AND solid > 1 GROUP BY ALL),
+        own AS (SELECT doc_id FROM b GROUP BY doc_id, words HAVING words - sum(n) < 8 OR words - sum(n) < 0.05 * words),
+        m AS (SELECT doc_id, f_doc, row_number() OVER (PARTITION BY doc_id ORDER BY sum(n) DESC, f_doc) AS r FROM b SEMI JOIN own USING (doc_id) GROUP BY doc_id, f_doc),
+        a AS (SELECT doc_id, f_doc AS copied FROM m WHERE r = 1),
         r AS (
-            SELECT key, long, count(DISTINCT context) AS c, min((doc_id, line)) AS first FROM o GROUP BY ALL),
-        d AS (
-            SELECT DISTINCT o.doc_id, o.line FROM o JOIN r ON o.key = r.key AND o.long = r.long
-            WHERE r.c >= CASE WHEN r.long THEN 3 ELSE 8 END AND (o.doc_id, o.line) <> r.first),
+            SELECT key FROM h LEFT JOIN a USING (doc_id) WHERE kind IN ('0', '1') AND docs >= need
+            GROUP BY key, need HAVING count(DISTINCT coalesce(copied, doc_id)) >= need),
         x AS (
-            SELECT doc_id, l.line, l.s, d.line IS NOT NULL AS gone FROM l LEFT JOIN d USING (doc_id, line)),
+            SELECT doc_id, line FROM h LEFT JOIN r ON h.key = r.key WHERE kind IN ('0', '1')
+            GROUP BY doc_id, line HAVING count(r.key) > 0 AND count(*) FILTER (is_first AND (kind = '0' OR r.key IS NOT NULL)) = 0),
         y AS (
-            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-                   coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (NOT gone), '') AS text FROM x GROUP BY doc_id)
+            SELECT doc_id, count(*) AS n_lines, count(x.line) AS n_dropped,
+                   coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (x.line IS NULL), '') AS text
+            FROM l LEFT JOIN x USING (doc_id, line) GROUP BY doc_id)
         SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(y.text, documents.text) AS text
         FROM documents LEFT JOIN y USING (doc_id)
     """,

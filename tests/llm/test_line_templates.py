@@ -72,3 +72,31 @@ def test_passage_in_two_documents(docs):
     copied = [f"{text(4, 200)}\n{text(5, 50)}\n{x}" for x in ("here", "there")]
     got = {r["doc_id"]: r["text"] for r in L.report(docs(pair + copied)).collect()}
     assert got == {0: pair[0], 1: f"{short}\n{text(3, 60)}", 2: copied[0], 3: copied[1]}
+
+
+def test_block_with_a_line_of_ones_own(docs):
+    block = [" ".join(f"b{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(12)]
+    own = lambda i: " ".join(f"o{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(20))
+    for n in (5, 10, 30):
+        got = L.report(docs(["\n".join([*block, own(i)]) for i in range(n)])).collect()
+        assert sum(r["n_dropped"] for r in got) == 12 * (n - 1), n
+
+
+def test_one_line_documents(docs):
+    rows = ["the same line of a few words stands everywhere"] * 50 + [unique(1)]
+    got = {r["doc_id"]: r for r in L.report(docs(rows)).collect()}
+    assert sum(r["n_dropped"] for r in got.values()) == 49 and got[0]["text"] == rows[0] and got[50]["text"] == rows[50]
+
+
+def test_shared_content_stays_once(docs):
+    line = lambda w: f"the session of the {w} was closed by the chair of all"
+    rows = [f"{unique(0)}\n{line('day')}"] + [f"{unique(i)}\n{line('week')}" for i in range(1, 7)] + [f"{unique(i)}\n{line('x' * i)}" for i in range(7, 12)]
+    got = {r["doc_id"]: r["text"] for r in L.report(docs(rows)).collect()}
+    assert [line("week") in got[i] for i in range(1, 7)] == [True] + [False] * 5 and line("day") in got[0]
+    assert not any("session" in got[i] for i in range(7, 12))  # fields that no other document has go with the template
+
+
+def test_names_in_a_short_line(docs):
+    names = ["Maria Lopez", "Jean Petit", "Ana Souza", "Li Wei", "Tom Reed", "Eva Berg", "Ivo Marsh", "Kim Lund", "Max Hart"]
+    got = {r["doc_id"]: r["text"] for r in L.report(docs([f"{unique(i)}\nPosted by {x} in News" for i, x in enumerate(names)])).collect()}
+    assert [("Posted" in got[i]) for i in range(9)] == [True] + [False] * 8
