@@ -1,18 +1,25 @@
 """Op 5 [native]: Order MinHash fingerprints, sensitive to edit distance.
 
-A text is cut into tokens (runs without white space, in pieces of at most ``TOKEN`` code points, so a
-text without spaces has many too). Every run of K tokens is a k-mer; the j-th occurrence of a k-mer
-counts as an element of its own. Elements are dealt into ``BINS`` bins by hash; of each bin the two
-least are selected, put back into text order and hashed as a tuple. Likeness is the share of bins,
-among those that either text fills, whose tuples agree.
-
-All of it is array expressions on the row: no shuffle, no Python, nothing gathered per group. Hash (38
-bits) and position (26 bits) share one long, so both sorts are sorts of primitive arrays.
-
-Defined cases: null text is empty; an empty text fills no bin, and two empty texts have likeness 1; a
-text of fewer than K tokens is a single k-mer; rows equal in doc_id and text are one document for the
-order of documents and come out once a row; rows that share a doc_id are ordered by a hash of their
-text; a null doc_id comes last; a table of one document is its own next one; extra columns are ignored.
+A text is cut into tokens (runs without white space; those of more than ``TOKEN`` code points, as in
+unspaced scripts, in single code points, so that an insertion changes only the k-mers around it).
+Every run of K tokens is a k-mer; the j-th occurrence of a k-mer counts as an element of its own. Each of
+``FAMILIES * TURNS`` hash functions selects the two least of all elements, puts them back into text order
+and hashes them as a tuple. Likeness is the share of hash functions whose tuples agree.
+
+A family is a hash of the elements; its functions are rotations of it, h(x) - p modulo the range, so the
+two least of all elements are the two that follow p on the ring (past the end, the first ones). One sort
+serves all rotations of a family, and no function sees but a part of the elements.
+
+All of it is array expressions on the row: no Python, nothing gathered per group. Elements are numbered
+once, in a sorted array of longs that hold hash (38 bits) and position (26 bits); families rehash that
+array in place and sort it. A text may have 2 ** 26 - 1 tokens; beyond that positions repeat, and only
+the text order of some tuples suffers.
+
+Defined cases: null text is empty; an empty text selects nothing, and two empty texts have likeness 1; a
+text of fewer than K tokens is a single k-mer, and a tuple of one element is that element; rows equal in
+doc_id and text are one document for the order of documents and come out once a row; rows that share a
+doc_id are ordered by a hash of their text; a null doc_id comes last; a table of one document is its own
+next one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +30,14 @@ from pyspark.sql import functions as F
 from tarnspark.llm.common import SPACE, Scratch, let, text_or_empty
 
 K = 3
-BINS = 64
+FAMILIES, TURNS = 4, 16
 TOKEN = 16
+#: A run without white space, or a code point of a longer one.
+PIECES = rf"(?<![^{SPACE}])[^{SPACE}]{{1,{TOKEN}}}+(?![^{SPACE}])|[^{SPACE}]"
 POS_BITS = 26
 _POS = (1 << POS_BITS) - 1
-_BIN_SHIFT = 58
+#: Fixed points of the ring; no element has position 0, so none equals a point.
+POINTS = [(i - TURNS // 2) * (2**64 // TURNS) for i in range(TURNS)]
 
 
 def _pos(x: Column) -> Column:
@@ -44,12 +54,12 @@ def _packed(h: Column, pos: Column) -> Column:
 
 def kmers(text: Column) -> Column:
     """Sorted (hash, position) longs of the k-mers."""
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(f"[^{SPACE}]{{1,{TOKEN}}}"), F.lit(0)), lambda t: F.xxhash64(t))
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda t: F.xxhash64(t))
 
     def of(h: Column) -> Column:
         at = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(K)])
-        many = F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: _packed(at(i), i))
-        one = F.array(_packed(F.xxhash64(h), F.lit(0)))
+        many = F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: _packed(at(i), i + 1))
+        one = F.array(_packed(F.xxhash64(h), F.lit(1)))
         return F.when(F.size(h) >= K, F.sort_array(many)).when(F.size(h) > 0, one).otherwise(F.array().cast("array<long>"))
 
     return let(hashes, of)
@@ -79,33 +89,40 @@ def elements(s: Column) -> Column:
     return let(occurrences(s), of)
 
 
+def family(e: Column, f: int) -> Column:
+    """The elements under the f-th hash, sorted."""
+    return e if f == 0 else F.sort_array(F.transform(e, lambda x: _packed(F.xxhash64(_hash(x), F.lit(f)), _pos(x))))
+
+
 def signature(text: Column) -> Column:
-    """array<int> of BINS slots, null where the bin is empty."""
-    bin_ = lambda x: F.shiftright(x, _BIN_SHIFT)
+    """array<int> of FAMILIES * TURNS tuples; empty for an empty text."""
+    points = F.array(*[F.lit(p).cast("long") for p in POINTS])
+
+    def tuple_(e: Column, first: Column) -> Column:
+        at = lambda i: F.get(e, F.pmod(i, F.size(e)))
+        pair = lambda x, y: F.when(_pos(x) < _pos(y), F.xxhash64(_hash(x), _hash(y))).otherwise(F.xxhash64(_hash(y), _hash(x)))
+        two = F.when(F.size(e) > 1, pair(at(first), at(first + 1))).otherwise(F.xxhash64(_hash(at(first))))
+        return F.shiftrightunsigned(two, 33).cast("int")
 
-    def slot(e: Column, i: Column) -> Column:
-        x, y = F.get(e, i), F.get(e, i + 1)
-        pair = F.when(_pos(x) < _pos(y), F.xxhash64(_hash(x), _hash(y))).otherwise(F.xxhash64(_hash(y), _hash(x)))
-        tuple_ = F.when(y.isNotNull() & (bin_(x) == bin_(y)), pair).otherwise(F.xxhash64(_hash(x)))
-        return F.shiftrightunsigned(tuple_, 33).cast("int")
+    def tuples(e: Column) -> Column:
+        # a point's rank among elements and points, less the points before it, is how many elements are below it
+        ranks = let(F.sort_array(F.concat(e, points)), lambda m: F.array(*[(F.array_position(m, F.lit(p).cast("long")) - 1 - j).cast("int") for j, p in enumerate(POINTS)]))
+        return F.transform(ranks, lambda r: tuple_(e, r))
 
     def of(e: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (bin_(F.get(e, i)) != bin_(F.get(e, i - 1))))
-        filled = let(starts, lambda at: F.map_from_arrays(F.transform(at, lambda i: bin_(F.get(e, i))), F.transform(at, lambda i: slot(e, i))))
-        dense = let(filled, lambda m: F.transform(F.sequence(F.lit(-BINS // 2).cast("long"), F.lit(BINS // 2 - 1).cast("long")), lambda b: F.try_element_at(m, b)))
-        return F.when(F.size(e) > 0, dense).otherwise(F.array_repeat(F.lit(None).cast("int"), BINS))
+        every = F.concat(*[let(family(e, f), tuples) for f in range(FAMILIES)])
+        return F.when(F.size(e) > 0, every).otherwise(F.array().cast("array<int>"))
 
     return let(kmers(text), lambda s: let(elements(s), of))
 
 
 def fingerprint(sig: Column) -> Column:
-    return F.array_join(F.transform(sig, lambda v: F.coalesce(F.lpad(F.lower(F.hex(v.cast("long"))), 8, "0"), F.lit("--------"))), "")
+    return F.array_join(F.transform(sig, lambda v: F.lpad(F.lower(F.hex(v.cast("long"))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda v: v))
-    filled = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.isNotNull() | y.isNotNull()), lambda v: v))
-    return F.when(filled == 0, 1.0).otherwise(same.cast("double") / F.greatest(filled, F.lit(1)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(same.cast("double") / F.lit(FAMILIES * TURNS))
 
 
 def next_documents(keys: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
