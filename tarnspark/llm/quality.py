@@ -1,12 +1,15 @@
 """Op 10: quality classifier by a weak-label model.
 
-Overlapping heuristic labellers vote on every document (bad, good or no vote). The votes of all
-documents are counted by pattern, and expectation-maximisation over those counts estimates how each
-labeller votes on bad documents and how common bad ones are; no hand labels are used. How rarely a
-labeller votes bad on good documents is set, not estimated (``FALSE_ALARM``): junk that trips a single
-labeller and clean text that does are not told apart by votes alone.
+Overlapping heuristic labellers vote on every document (bad, good or no vote); each defect that they know
+is seen by at least two of them, by different signs. The votes of all documents are counted by pattern,
+and expectation-maximisation over those counts estimates, without hand labels, how each labeller votes on
+good and on bad documents and how common bad ones are. Rates have a prior of ``PSEUDO`` documents, a fixed
+number. EM starts from agreement: two bad votes speak for a bad document, a single one does not; so a
+labeller that many otherwise clean documents trip by itself gets the false-alarm rate it has, and a single
+vote of it decides nothing.
+
 The posterior of a document's pattern is its label. A linear scorer over hashed features, word shapes
-and binned text statistics, is trained on a bounded sample of labelled rows (``SAMPLE``, drawn by
+and binned text statistics, is trained on a bounded sample of labelled rows (``SAMPLE``, the least by
 hash) and then scores every whole text; documents scoring under ``THRESHOLD`` are rejected.
 
 Driver side: at most 3 ** len(LABELLERS) pattern counts and the sample's feature rows; the model is
@@ -35,7 +38,11 @@ DIMS = 4096
 SAMPLE = 20_000
 THRESHOLD = 0.5
 ROUNDS = 60
-FALSE_ALARM, PRIOR = 0.001, 10.0
+#: Pseudo-documents of a vote rate's prior, and the good-or-bad guess that EM starts from by number of bad votes.
+PSEUDO = 1.0
+START = (0.99, 0.8, 0.02)
+#: Words of a block in which variety is measured.
+BLOCK = 50
 GOOD, BAD, NONE = 0, 1, 2
 
 _UPPER = np.zeros(256, bool)
@@ -48,6 +55,8 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[[*b" \t\n\r\x0b\x0c.,;:!?'\"()-"]] = True
 _SHAPE = bytes(97 if 97 <= b < 123 or b >= 128 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
+#: The same mark three times or more.
+_SAME = re.compile(rb"([!-/:-@\[-`{-~])\1\1+")
 
 
 def statistics(text: str) -> tuple[dict[str, float], list[bytes]]:
@@ -69,6 +78,8 @@ def statistics(text: str) -> tuple[dict[str, float], list[bytes]]:
         "bars": float(c[124]) / n,
         "digits": float(c[_DIGIT].sum()) / solid,
         "length": solid / n,
+        "runs": sum(len(m[0]) for m in _SAME.finditer(raw)) / solid,
+        "variety": sum(len(set(words[i : i + BLOCK])) for i in range(0, n, BLOCK)) / n,
         "echo": sum(a == b for a, b in zip(words, words[1:])) / n,
         "top": max(Counter(words).values()) / n,
         "stops": sum(x[-1:] in b".!?\"" for x in ends) / max(1, len(ends)),
@@ -88,6 +99,8 @@ LABELLERS = {
     "menu": lambda s: NONE if s["words"] < 5 else between(s["bars"], 0.02, 0.15),
     "echo": lambda s: NONE if s["words"] < 10 else between(s["echo"], 0.05, 0.25),
     "one_word": lambda s: NONE if s["words"] < 30 else between(s["top"], 0.15, 0.35),
+    "runs": lambda s: between(s["runs"], 0.02, 0.1),
+    "variety": lambda s: NONE if s["words"] < 20 else GOOD if s["variety"] >= 0.5 else BAD if s["variety"] <= 0.35 else NONE,
     "digits": lambda s: between(s["digits"], 0.1, 0.5),
     "word_length": lambda s: GOOD if 2.5 <= s["length"] <= 9 else BAD if s["length"] < 1.5 or s["length"] > 16 else NONE,
     "sentences": lambda s: NONE if s["words"] < 30 else GOOD if s["stops"] >= 0.6 else BAD if s["stops"] == 0 and s["words"] >= 100 else NONE,
@@ -113,24 +126,24 @@ def votes_of(code: int) -> list[int]:
 
 
 def estimate(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int, float], np.ndarray]:
-    """Posterior of "good" by pattern, and each labeller's vote rates by class, by expectation-maximisation."""
+    """Posterior of "good" by pattern, and each labeller's vote rates by class, by expectation-maximisation.
+
+    ``rate[c, l, v]`` is how often labeller l votes v (GOOD, BAD) on documents of class c, among those it
+    votes on; no vote is no evidence.
+    """
     codes = sorted(c for c in counts if c >= 0)
     if not codes:
         return {}, np.zeros((2, len(LABELLERS), 2))
     v = np.array([votes_of(c) for c in codes])
     n = np.array([counts[c] for c in codes], float)
-    one = np.eye(3)[v][:, :, :NONE]  # pattern, labeller, vote; no vote is no evidence
-    good = np.where((v == BAD).any(axis=1), 0.1, 0.95)
+    one = np.eye(3)[v][:, :, :NONE]  # pattern, labeller, vote
+    good = np.take(START, np.minimum((v == BAD).sum(axis=1), 2))
     for _ in range(rounds):
         w = np.stack([n * good, n * (1 - good)])
-        rate = np.einsum("cp,plv->clv", w, one) + 0.5
-        # labellers are set to raise few false alarms: a prior worth PRIOR times the corpus says how few
-        rate[0] += PRIOR * n.sum() * np.array([1 - FALSE_ALARM, FALSE_ALARM])
+        rate = np.einsum("cp,plv->clv", w, one) + PSEUDO * np.array([[[0.99, 0.01]], [[0.5, 0.5]]])
         rate /= rate.sum(axis=2, keepdims=True)
-        # a labeller is never worse than chance: it votes bad more readily on bad documents
-        rate[1, :, BAD] = np.maximum(rate[1, :, BAD], rate[0, :, BAD])
-        prior = (w.sum(axis=1) + 1) / (w.sum() + 2)
-        logp = np.log(prior)[:, None] + np.einsum("clv,plv->cp", np.log(rate), one)
+        share = (w.sum(axis=1) + PSEUDO) / (w.sum() + 2 * PSEUDO)
+        logp = np.log(share)[:, None] + np.einsum("clv,plv->cp", np.log(rate), one)
         good = 1 / (1 + np.exp(np.clip(logp[1] - logp[0], -50, 50)))
     return dict(zip(codes, good.tolist())), rate
 
@@ -193,10 +206,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
 
     counts = {r["code"]: r["n"] for r in docs.select(code("text").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, _ = estimate(counts)
-    share = min(1.0, sample / max(1, sum(counts.values())))
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
+    # the least by hash: a cut by share first, so that few rows are sorted; then exactly the sample, the same on every run
+    share = min(1.0, 1.1 * (sample + 1000) / max(1, sum(counts.values())))
+    (h,) = fresh(docs, "_h")
+    drawn = docs.withColumn(h, F.xxhash64("doc_id", "text")).where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = drawn.orderBy(h, "doc_id").limit(sample).select("text")
     rows = [(r["f"]["at"], r["f"]["x"], good[r["f"]["code"]]) for r in drawn.select(features("text").alias("f")).collect() if r["f"]["code"] in good]
-    return train(rows)
+    return train(sorted(rows))
 
 
 def scorer(model: tuple[np.ndarray, float]):
