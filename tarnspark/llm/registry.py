@@ -73,7 +73,7 @@ ORACLES: dict[str, str] = {
     """,
     "op3_tool_call_linking": """
         WITH c AS (
-            SELECT conv_id, 'turn_' || turn AS call_id, turn, role AS name, text,
+            SELECT conv_id, 'turn_' || turn AS call_id, turn, role AS name, text, coalesce(length(text), 0) % 13 AS k,
                    CASE WHEN turn >= 2 THEN 'turn_' || (turn - 2) END AS parent_id
             FROM conversations WHERE role <> 'assistant' OR role IS NULL),
         r AS (
@@ -84,18 +84,25 @@ ORACLES: dict[str, str] = {
                 UNION ALL
                 SELECT c.conv_id, c.call_id, w.depth + 1 FROM w JOIN c ON c.conv_id = w.conv_id AND c.parent_id = w.call_id)
             SELECT * FROM w),
+        o AS (
+            SELECT conv_id, call_id, depth, row_number() OVER (PARTITION BY conv_id ORDER BY depth, turn NULLS FIRST, call_id) AS position FROM c JOIN up USING (conv_id, call_id)),
         j AS (
-            SELECT conv_id, call_id, up.depth, c.turn, c.name, c.text, c.parent_id, r.result_turn, r.result,
+            SELECT conv_id, call_id, o.depth, o.position, c.turn, c.name, c.text, c.k, c.parent_id, r.result_turn, r.result,
                    c.call_id IS NOT NULL AS called, r.call_id IS NOT NULL AS answered,
                    c.parent_id IS NOT NULL AND p.call_id IS NULL AS lost
-            FROM c JOIN up USING (conv_id, call_id) LEFT JOIN (SELECT conv_id, call_id AS parent_id, call_id FROM c) p USING (conv_id, parent_id)
+            FROM c JOIN o USING (conv_id, call_id) LEFT JOIN (SELECT conv_id, call_id AS parent_id, call_id FROM c) p USING (conv_id, parent_id)
             FULL JOIN r USING (conv_id, call_id)),
         e AS (
-            SELECT *, concat_ws(';', CASE WHEN name = 'system' THEN 'scope:missing' WHEN called AND name <> 'user' THEN 'tool:unknown' END,
-                                CASE WHEN lost THEN 'parent:missing' END) AS errors,
-                   CASE WHEN called THEN '{"text":' || to_json(text) || ',"turn":' || turn || '}' END AS canonical FROM j)
-        SELECT conv_id, call_id, CAST(depth AS BIGINT) AS depth, CAST(turn AS BIGINT) AS turn, name,
-               CASE WHEN NOT called THEN 'orphan' WHEN errors <> '' THEN 'invalid' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
+            SELECT *, concat_ws(';',
+                       CASE WHEN NOT called THEN NULL WHEN k = 5 THEN 'arguments:not object' WHEN name = 'system' THEN 'scope:missing' WHEN name <> 'user' THEN 'tool:unknown' END,
+                       CASE WHEN called AND k <> 5 AND name IN ('user', 'system') AND text IS NULL THEN 'text:missing' END,
+                       CASE WHEN k = 7 AND name IN ('user', 'system') THEN 'turn:not bigint' END,
+                       CASE WHEN k = 9 AND name IN ('user', 'system') THEN 'more:unknown' END,
+                       CASE WHEN lost THEN 'parent:missing' END) AS errors,
+                   CASE WHEN called AND k <> 5 THEN '{' || CASE WHEN k = 9 THEN '"more":[100,2.5],' ELSE '' END || '"text":' || to_json(text)
+                       || ',"turn":' || CASE WHEN k = 7 THEN '"' || turn || '"' ELSE '' || turn END || '}' END AS canonical FROM j)
+        SELECT conv_id, call_id, CAST(depth AS BIGINT) AS depth, position, CAST(turn AS BIGINT) AS turn, name,
+               CASE WHEN NOT called THEN 'orphan' WHEN k = 5 THEN 'bad_json' WHEN errors <> '' THEN 'invalid' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
                errors, canonical, CAST(result_turn AS BIGINT) AS result_turn, result,
                CAST(called AS BIGINT) AS n_calls, CAST(answered AS BIGINT) AS n_results,
                '{"arguments":' || coalesce(canonical, 'null') || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name), 'null')

@@ -31,7 +31,8 @@ def test_links(spark):
     assert got[1, "f"]["canonical"] is None
     assert got[1, "q"]["status"] == "orphan" and got[1, "q"]["n_calls"] == 0
     assert (got[2, "a"]["n_calls"], got[2, "a"]["n_results"], got[2, "a"]["name"], got[2, "a"]["result"]) == (2, 2, "search", "first")
-    assert len(got) == 9
+    assert (got[None, "a"]["status"], got[3, None]["status"], got[3, None]["errors"]) == ("orphan", "invalid", "id:missing")
+    assert len(got) == 11
 
 
 def test_long_chain_and_unanswered(spark):
@@ -42,8 +43,47 @@ def test_long_chain_and_unanswered(spark):
     assert link(spark, [], []) == {}
 
 
+def test_order_of_a_conversation(spark):
+    calls = [(1, "r", 5, "stop", "{}", None), (1, "a", 1, "stop", "{}", "r"), (1, "b", 0, "stop", "{}", "a"), (1, "s", 5, "stop", "{}", None), (1, "x", 2, "stop", "{}", "y"), (1, "y", 2, "stop", "{}", "x"), (2, "z", 0, "stop", "{}", None)]
+    got = link(spark, calls, [])
+    assert {k: got[1, k]["position"] for k in "rsabxy"} == {"r": 1, "s": 2, "a": 3, "b": 4, "x": None, "y": None} and got[2, "z"]["position"] == 1
+
+
+def test_one_form_of_numbers(spark):
+    forms = ["1e2", "100", "100.0", "1.0E+2", "0.10", "1e-1", "-0", "-0.0", "0.5e-9", "12345678901234567890", "1e400"]
+    calls = [(i, "a", 0, "search", f'{{"q": "1e2 \\\\ \\"5.0\\"", "n": {x}}}', None) for i, x in enumerate(forms)]
+    got = link(spark, calls, [])
+    n = [got[i, "a"]["canonical"].split(",")[0].removeprefix('{"n":') if got[i, "a"]["canonical"] else None for i in range(len(forms))]
+    assert n[:9] == ["100"] * 4 + ["0.1"] * 2 + ["0"] * 2 + ["5.0E-10"] and n[9] == "12345678901234567890"
+    assert [got[i, "a"]["errors"] for i in range(9)] == [""] * 4 + ["n:not bigint"] * 2 + [""] * 2 + ["n:not bigint"]
+    assert json.loads(got[0, "a"]["canonical"])["q"] == '1e2 \\ "5.0"'
+
+
+def test_result_before_its_call_ties_and_long_texts(spark):
+    long = "x" * 300_000
+    calls = [(1, "a", 6, "search", json.dumps({"q": long}), None), (1, "b", 2, "stop", "{}", None), (1, "b", 2, "stop", "[]", None), (1, "c", 3, "stop", "{}", None)]
+    results = [(1, "a", 1, "early"), (1, "b", 3, "two"), (1, "b", 3, "one"), (1, "c", 3, "same")]
+    got = link(spark, calls, results)
+    assert (got[1, "a"]["status"], got[1, "a"]["errors"]) == ("invalid", "result:before call") and got[1, "a"]["canonical"] == json.dumps({"q": long}, separators=(",", ":"))
+    assert (got[1, "b"]["status"], got[1, "b"]["result"], got[1, "b"]["n_calls"], got[1, "b"]["n_results"]) == ("bad_json", "one", 2, 2)
+    assert got[1, "c"]["errors"] == "result:before call"
+
+
+def test_joins_are_hash_joins(spark):
+    c, r = spark.createDataFrame([(1, "a", 0, "stop", "{}", None)], CALLS.rsplit(",", 1)[0]), spark.createDataFrame([(1, "a", 1, "x")], RESULTS)
+    plan = T.link(c, r, SCHEMAS)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Python" not in plan
+
+
+def test_calls_in_the_text(spark):
+    say = '{"id": "k", "name": "search", "arguments": {"q": "x"}, "parent": null}'
+    turns = spark.createDataFrame([(1, 0, "assistant", say), (1, 1, "user", "{broken!"), (1, 2, "assistant", "fine")], "conv_id long, turn long, role string, text string")
+    got = {r["call_id"]: r for r in T.link(*T.from_conversations(turns), SCHEMAS | T.TURN_SCHEMAS).collect()}
+    assert got["k"]["canonical"] == '{"q":"x"}' and got["turn_1"]["status"] == "linked" and len(got) == 2
+
+
 def test_conversations(spark):
-    turns = spark.createDataFrame([(1, 0, "system", "be nice"), (1, 1, "user", 'say "hi"'), (1, 2, "assistant", "hi"), (1, 3, "user", None), (2, 0, "assistant", "odd"), (3, 0, None, "x")], "conv_id long, turn long, role string, text string")
+    turns = spark.createDataFrame([(1, 0, "system", "be nice!"), (1, 1, "user", 'say "hi"'), (1, 2, "assistant", "hi"), (1, 3, "user", None), (2, 0, "assistant", "odd"), (3, 0, None, "x")], "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["call_id"]): r for r in T.link(*T.from_conversations(turns), T.TURN_SCHEMAS).collect()}
     assert got[1, "turn_0"]["errors"] == "scope:missing" and got[1, "turn_1"]["status"] == "linked" and got[1, "turn_3"]["errors"] == "text:missing"
     assert got[2, "turn_-1"]["status"] == "orphan" and got[3, "turn_0"]["errors"] == "tool:unknown"
