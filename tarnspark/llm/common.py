@@ -102,6 +102,26 @@ def split_join(facts: DataFrame, keyed: DataFrame, key: str, count: str) -> Data
     return facts.join(hot, key).unionByName(rest.join(cold, key))
 
 
+def salted_join(facts: DataFrame, keyed: DataFrame, key: str, by: str, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join on ``key``, of which ``keyed`` has one (perhaps wide) row each.
+
+    Keys of more than 1 / HOT_KEYS of the facts are fewer than HOT_KEYS; only their names and counts are
+    broadcast. Their facts are dealt by a hash of ``by`` to copies of the keyed row, so that none is met
+    by more than that share. ``counts`` (key, _c) may be given where it is cheaper to have from elsewhere.
+    """
+    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_c")) if counts is None else counts
+    total = counts.agg(F.sum("_c")).first()[0] or 0
+    bound = max(1000, total // HOT_KEYS)
+    hot = counts.where(F.col("_c") > bound).select(key, F.ceil(F.col("_c") / bound).cast("long").alias("_salts"))
+    if not hot.limit(1).count():
+        return facts.join(keyed, key)
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    dealt = facts.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts)).drop("_salts")
+    copies = keyed.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def prefix_sums(arr: Column, block: int = 256) -> Column:
     """Exclusive prefix sums of an array<int>; two levels, so long arrays stay near linear."""
     zero = F.array(F.lit(0).cast("int"))

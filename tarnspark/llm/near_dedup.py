@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import WORD, Scratch, fresh, own_columns, text_or_empty
+from tarnspark.llm.common import WORD, Scratch, fresh, own_columns, salted_join, split_join, text_or_empty
 from tarnspark.llm.components import components
 
 GROUPS, ROWS = 8, 2
 #: Pivots of a bucket; largest bucket that is compared by pairs; sets on a side of a tile.
-PIVOTS, SMALL, SIDE = 4, 32, 2048
+PIVOTS, SMALL, SIDE = 4, 32, 512
 U = np.uint64
 _K = (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 
@@ -151,8 +151,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
     classes = scratch.keep(signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max(F.struct("n_shingles", "bands")).alias("x")).select("sig", "rep", F.col("x.n_shingles").alias("n"), "x.bands"))
     keys = F.array(*[F.xxhash64(F.lit(i * groups + j), F.get("bands", F.lit(i)), F.get("bands", F.lit(groups + j))) for i in range(groups) for j in range(groups)])
     rows_ = classes.select("sig", "n", F.explode(keys).alias("key"))
-    crowded = rows_.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = scratch.keep(rows_.join(crowded, "key"))
+    crowded = scratch.keep(rows_.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    members = scratch.keep(split_join(rows_, crowded, "key", "c").select("key", "sig", "n", "c"))
     company = scratch.keep(members.groupBy("sig").agg(F.sum("c").alias("company")))
 
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
@@ -160,8 +160,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
     def stars() -> DataFrame:
         of = members.join(company, "sig")
         orders = [F.min(F.struct((-F.col("company") if i == 0 else F.xxhash64(F.lit(i), "sig")).alias("o"), "sig", "n")).alias(f"p{i}") for i in range(PIVOTS)]
-        pivots = of.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"p{i}.sig", f"p{i}.n") for i in range(PIVOTS)]))).alias("p"))
-        return members.join(pivots, "key").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("p.sig").alias("b"), F.col("p.n").alias("nb"))
+        pivots = of.groupBy("key").agg(F.first("c").alias("most"), *orders).select("key", "most", F.array_distinct(F.array(*[F.struct(f"p{i}.sig", f"p{i}.n") for i in range(PIVOTS)])).alias("ps"))
+        met = split_join(members, scratch.keep(pivots), "key", "most").select("sig", "n", F.explode("ps").alias("p"))
+        return met.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("p.sig").alias("b"), F.col("p.n").alias("nb"))
 
     def sets_of(named: DataFrame) -> DataFrame:
         """sig, items of the classes named, from the text of one document each."""
@@ -174,8 +175,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
         lo, hi = F.least("a", "b"), F.greatest("a", "b")
         pairs = scratch.keep(pairs.where(F.col("a") != F.col("b")).where(near).select(lo.alias("a"), hi.alias("b")).distinct())
         sets = sets_of(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))))
-        one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
-        two = one.join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
+        # the class that has the most pairs, a pivot as a rule, may have any number: its set is copied, its pairs are dealt
+        one = salted_join(pairs, sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a", "b")
+        crowd = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_c"))
+        two = salted_join(one, sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b", "a", crowd)
         common = F.size(F.array_intersect("x", "y"))
         links = scratch.keep(two.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).where(f"100 * i >= {percent} * u").select("a", "b"))
         scratch.drop(sets)
@@ -205,8 +208,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
     labelled = scratch.keep(company.select("sig").join(found.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")))
     placed = members.join(labelled, "sig")
     by = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = by.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("main.label").alias("main"))
-    placed = scratch.keep(placed.join(mixed, "key"))
+    mixed = by.groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("all")).where("k > 1").select("key", "all", F.col("main.label").alias("main"))
+    placed = scratch.keep(split_join(placed, scratch.keep(mixed), "key", "all").select("key", "sig", "n", "c", "label", "main"))
     x = placed.where(f"label != main and c <= {SMALL}").select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = placed.where(f"c <= {SMALL}").select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     more = confirmed(x.join(y, "key").where("la != lb").select("a", "na", "b", "nb"))

@@ -165,4 +165,25 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(y.text, documents.text) AS text
         FROM documents LEFT JOIN y USING (doc_id)
     """,
+    "op8_tensored_minhash": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                                           ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS sig FROM s GROUP BY doc_id),
+        c AS (SELECT sig, min(doc_id) AS rep, min(n) AS n FROM n GROUP BY sig),
+        i AS (SELECT rep, n, s FROM c JOIN s ON rep = doc_id),
+        p AS (
+            SELECT x.rep AS a, y.rep AS b FROM i x JOIN i y ON x.s = y.s AND x.rep < y.rep AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+            GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+        e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (
+            WITH RECURSIVE t AS (SELECT rep AS a, rep AS b FROM c UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a)
+            SELECT a AS rep, min(b) AS component_id FROM t GROUP BY a)
+        SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.component_id, documents.doc_id) AS component_id,
+               documents.doc_id = coalesce(r.component_id, documents.doc_id) AS kept, coalesce(c.rep, documents.doc_id) AS class_id
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (sig) LEFT JOIN r USING (rep)
+    """,
 }
