@@ -229,18 +229,3 @@ SCALARS = (
     "date", "time", "datetime", "julianday", "strftime", "unixepoch",
 )
 ADMITTED = frozenset(AGGREGATES + WINDOWS + SCALARS)
-
-#: SQL functions registered for statements: name -> (parameters, type, body) in Spark SQL.
-SQL_FUNCTIONS = {
-    "glob": ("p STRING, x STRING", "BOOLEAN", "x RLIKE concat('(?s)^', replace(replace(p, '*', '.*'), '?', '.'), '$')"),
-    "julianday": ("t TIMESTAMP", "DOUBLE", "unix_micros(t) / 86400e6D + 2440587.5D"),
-    "unixepoch": ("t TIMESTAMP", "BIGINT", "unix_seconds(t)"),
-    "datetime": ("t TIMESTAMP", "STRING", "date_format(t, 'yyyy-MM-dd HH:mm:ss')"),
-    "strftime": ("f STRING, t TIMESTAMP", "STRING", "date_format(t, replace(replace(replace(replace(replace(replace(replace(f, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'), '%H', 'HH'), '%M', 'mm'), '%S', 'ss'), '%j', 'DDD'))"),
-}
-
-
-def register(spark) -> None:
-    """Make the functions of other names available to a session's statements."""
-    for name, (params, kind, body) in SQL_FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")

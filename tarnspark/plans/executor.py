@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnspark.errors import StatementFailed, StatementRejected, StatementTimeout
 from tarnspark.plans.guard import Guard, Policy, close_names, quoted_values
+from tarnspark.plans.rewrite import Rewriter
 
 DEFAULT_ROWS, DEFAULT_SECONDS = 50, 30.0
 BULK_ROWS, BULK_SECONDS = 1_000_000, 3600.0
@@ -85,22 +86,22 @@ class SafeExecutor:
     """Statements over the views of one session, one at a time."""
 
     def __init__(self, spark: SparkSession, policy: Policy = Policy(), max_rows: int = DEFAULT_ROWS, timeout_s: float = DEFAULT_SECONDS):
-        self.spark, self.guard = spark, Guard(spark, policy)
+        self.spark, self.guard, self.rewriter = spark, Guard(spark, policy), Rewriter(spark)
         self.max_rows, self.timeout_s = check_rows(max_rows), check_seconds(timeout_s)
         self._lock = threading.Lock()
 
     def frame(self, sql: str) -> DataFrame:
         """The admitted statement as a DataFrame: the way to read in bulk without collecting."""
-        body = self.guard.check(sql)
+        plan, body = self.guard.admit(sql)
         try:
-            return self.spark.sql(body)
+            meant = self.rewriter.rewrite(plan, body)
+            return DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, meant), self.spark)
         except AnalysisException as e:
             raise self.translated(e, sql) from None
 
     def execute(self, sql: str, max_rows: int | None = None, timeout_s: float | None = None) -> QueryResult:
         rows = self.max_rows if max_rows is None else check_rows(max_rows)
         seconds = self.timeout_s if timeout_s is None else check_seconds(timeout_s)
-        self.guard.check(sql)
         with self._lock, Deadline(self.spark, seconds) as deadline:
             began = time.monotonic()
             try:

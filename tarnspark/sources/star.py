@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tarnspark.errors import SourceUnavailable
-from tarnspark.functions.dialect import register
 from tarnspark.session import harden
 
 _MONEY = "decimal(18,2)"
@@ -72,7 +71,6 @@ def from_frames(spark: SparkSession, frames: dict[str, DataFrame]) -> Star:
         more = f" and {len(lost) - 10} more" if len(lost) > 10 else ""
         raise SourceUnavailable(f"the source lacks {', '.join(lost[:10])}{more}", "open a source with the whole schema")
     own = harden(spark)
-    register(own)
     star = Star(own)
     for t, cols in TABLES.items():
         # the view has the readable columns only, so even * cannot reach another
