@@ -97,11 +97,20 @@ def build_index(star: Star, kind: str) -> DataFrame:
     return rows
 
 
+def own_index(rows: DataFrame) -> DataFrame:
+    """The index of a table with id and label and nothing else."""
+    no = lambda kind: F.lit(None).cast(kind)
+    named = rows.select(F.col("id").cast("string").alias("id"), "label").where("id is not null and id <> '' and label is not null")
+    named = named.withColumn("year", no("int")).withColumn("movie_id", no("string")).withColumn("role", no("string"))
+    return named.withColumn("key", normalized(F.col("label"))).where("key <> ''").withColumn("alias", F.lit(False))
+
+
 class EntityIndex:
     """Lookups by name over a star; kinds load on first use, whole or not at all."""
 
-    def __init__(self, star: Star):
-        self.star = star
+    def __init__(self, star: Star | None, frames: dict[str, DataFrame] | None = None):
+        """Over a star, or over tables of one's own: kind -> DataFrame with id and label."""
+        self.star, self.frames = star, frames or {}
         self._lock = threading.Lock()
         self._names: dict[str, DataFrame] = {}
         self._tokens: dict[str, DataFrame] = {}
@@ -109,7 +118,7 @@ class EntityIndex:
     def names(self, kind: str) -> DataFrame:
         with self._lock:
             if kind not in self._names:
-                rows = build_index(self.star, kind).cache()
+                rows = (own_index(self.frames[kind]) if kind in self.frames else build_index(self.star, kind)).cache()
                 try:
                     n = rows.count()
                 except Exception as e:
@@ -130,7 +139,7 @@ class EntityIndex:
             return self._tokens[kind]
 
     def find(self, kind: object, query: str, role: object = None, max_candidates: int = CANDIDATES) -> EntityMatch:
-        kind, role = parse_kind(kind), parse_role(role)
+        kind, role = kind if kind in self.frames else parse_kind(kind), parse_role(role)
         if isinstance(max_candidates, bool) or not isinstance(max_candidates, int) or not 1 <= max_candidates <= CANDIDATES_MOST:
             raise ValueError(f"max_candidates must be a whole number from 1 to {CANDIDATES_MOST}")
         if role and kind != "pessoa":
@@ -180,10 +189,14 @@ class EntityIndex:
         for i, t in enumerate(tokens):
             may_begin = len(t) >= MIN_TOKEN and wide[i] <= EXPANSIONS  # a shorter or too common beginning counts only as a whole token
             hits.append(F.max(F.when(F.col("token") == t, 2).when(F.col("token").startswith(t) if may_begin else F.lit(False), 1).otherwise(0)).alias(f"h{i}"))
-        by = all_tokens.groupBy("key").agg(*hits, F.count(F.lit(1)).alias("n_tokens"))
+        # only tokens that may answer are grouped; keys that begin as the query does are found by themselves
+        asked = reduce(lambda a, b: a | b, [F.col("token").startswith(t) if len(t) >= MIN_TOKEN and wide[i] <= EXPANSIONS else F.col("token") == t for i, t in enumerate(tokens)])
+        by = all_tokens.where(asked).groupBy("key").agg(*hits)
         least = reduce(lambda a, b: F.least(a, b), [F.col(f"h{i}") for i in range(1, len(tokens))], F.col("h0"))
-        cls = F.when(F.col("key").startswith(key), 0).when(least == 2, 1).when(least == 1, 2)
-        matched = by.withColumn("cls", cls).where("cls is not null").select("key", "cls", (F.col("n_tokens") - len(tokens)).alias("extra"))
+        by_token = by.withColumn("cls", F.when(least == 2, 1).when(least == 1, 2)).where("cls is not null").select("key", "cls")
+        begins = self.names(kind).where(F.col("key").startswith(key)).select("key", F.lit(0).alias("cls"))
+        found = by_token.unionByName(begins).groupBy("key").agg(F.min("cls").alias("cls"))
+        matched = found.select("key", "cls", (F.size(F.array_distinct(F.split("key", " "))) - len(tokens)).alias("extra"))
         rows = mine.join(matched, "key").withColumn("via", F.when(F.col("alias"), "alias").when(F.col("cls") == 0, "prefix").otherwise("tokens")).withColumn("edits", F.lit(None).cast("int"))
         n = rows.select("id").distinct().count()
         order = [F.col("cls"), F.col("extra"), F.length("key"), F.col("key"), *canonical_order(kind)]

@@ -28,7 +28,24 @@ def test_text():
     assert "not given" in text_problem(check, WANT, "- Drama: 1.235\n- Ação: 7")
 
 
+def test_listed_rows():
+    check = CHECKS["q10"]
+    good = "- Drama: 1.234 filmes\n- Ação: 7 filmes"
+    assert "not in the result" in text_problem(check, WANT, good + "\n- Terror: 5 filmes")
+    assert "contradicts" in text_problem(check, WANT, good + "\n- Drama: 999 filmes")
+    assert text_problem(check, WANT, "| Gênero | Filmes |\n|---|---|\n| Drama | 1.234 |\n| Ação | 7 |") is None
+    assert "not in the result" in text_problem(check, WANT, "| Drama | 1.234 |\n| Ação | 7 |\n| Terror | 5 |")
+    ranking = next(c for c in CHECKS.values() if c.shape == "ranked" and len(c.identity) and len(c.identity[-1]) == 1)
+    name, value = ranking.identity[-1][0], ranking.metrics[0].column
+    want = [{name: "Alpha", value: 30}, {name: "Beta", value: 20}, {name: "Gamma", value: 20}]
+    want = [{c: None for i in ranking.identity for c in i} | r for r in want]
+    assert text_problem(ranking, want, "1. Alpha: 30\n2. Gamma: 20\n3. Beta: 20") is None
+    assert "place 1" in text_problem(ranking, want, "2. Alpha: 30\n1. Beta: 20\n3. Gamma: 20") or "place 2" in text_problem(ranking, want, "2. Alpha: 30\n1. Beta: 20\n3. Gamma: 20")
+
+
 def test_policy():
+    assert policy_problem("refusal", "I cannot help with that.") is None and policy_problem("refusal", "Isso está fora do meu escopo.") is None and policy_problem("refusal", "Respondo apenas sobre filmes.") is None
+    assert policy_problem("capabilities", "Não posso falar de filmes e notas.") and policy_problem("capabilities", "You can ask about movies and ratings.") is None
     assert policy_problem("refusal", "Não posso ajudar com isso.") is None and policy_problem("refusal", "Claro!")
     assert policy_problem("capabilities", "Posso responder sobre filmes e notas.") is None and policy_problem("capabilities", "Olá!")
 
