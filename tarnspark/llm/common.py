@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of the word contracts, as a regex class.
@@ -122,6 +122,22 @@ def salted_join(facts: DataFrame, keyed: DataFrame, key: str, by: str, counts: D
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
 
 
+def placed(df: DataFrame, order: list, scratch: Scratch, name: str = "_place", of: str | None = None) -> DataFrame:
+    """The rows with their place, from 1, in the order given; with ``of``, the sum of that column over the rows before.
+
+    Rows are range-partitioned and kept, each range is numbered by itself, and the totals of the ranges before
+    come from a table of one row a range. No task sorts more than its range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = scratch.keep(df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()))
+    total = F.sum(of) if of else F.count(F.lit(1))
+    sizes = ranged.groupBy("_pid").agg(total.alias("_c"))
+    before = F.broadcast(sizes.select("_pid", (F.sum("_c").over(Window.orderBy("_pid")) - F.col("_c")).alias("_before")))
+    inside = Window.partitionBy("_pid").orderBy(*order)
+    own = F.coalesce(F.sum(of).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if of else F.row_number().over(inside)
+    return ranged.withColumn(name, own).join(before, "_pid").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_pid", "_before")
+
+
 def prefix_sums(arr: Column, block: int = 256) -> Column:
     """Exclusive prefix sums of an array<int>; two levels, so long arrays stay near linear."""
     zero = F.array(F.lit(0).cast("int"))

@@ -89,7 +89,7 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
 def nearest(vectors: DataFrame, is_query, k: int = 10, query_band: int = QUERY_BAND, row_band: int = ROW_BAND) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every query, nearest first."""
     v = usable(vectors)
-    queries = v.where(is_query).dropDuplicates(["vec_id"])
+    queries = v.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))  # of rows that share an id the least vector asks
     n, nq = v.count(), queries.count()
     cols, rows = max(1, math.ceil(n / row_band)), max(1, math.ceil(nq / query_band))
     # a row's band follows from its place in the input, so equal rows do not meet in one band

@@ -37,9 +37,9 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDE = {
-    "email": r"(?:(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20)[\p{L}\p{N}-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[\p{L}\p{N}-]{2,63}){1,4})",
+    "email": r"(?:(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20)[\p{L}\p{N}-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[\p{L}\p{N}-]{2,}+)++)",
     "ip": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}|[0-9A-Fa-f]{1,4}::[0-9A-Fa-f]{1,4})(?![\p{L}\p{N}:])",
-    "num": r"(?<![\p{L}\p{N}.,])\+?+[0-9(][0-9()./\x20-]{5,30}[0-9](?![\p{L}\p{N}])",
+    "num": r"(?<![\p{L}\p{N}.,])\+?+[0-9(](?:[()./\x20-]*+[0-9]){5,}+(?![\p{L}\p{N}])",
 }
 #: Cheap tests that a text must pass before a pattern is run on it.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
@@ -157,8 +157,9 @@ def candidates(text: Column) -> Column:
         numbers = F.array_distinct(F.concat(spans(t, WIDE["num"], WIDE_NEEDS["num"]), inner))
         return F.concat(named("email", 0), named("ip", 1), let(numbers, lambda n: F.concat(as_(n, 2), as_(n, 3))))
 
+    # the widest kinds first, so that no blank falls inside a span still to be found
     rest = text
-    for kind in KINDS:
+    for kind in ("phone", "card", "email", "ip"):
         rest = let(rest, partial(_masked, kind))
     maybe = text.rlike("|".join(WIDE_NEEDS.values()))
     empty = F.array().cast("array<struct<start:int,end:int,kind:int,digits:int,groups:int,shape:int,luhn:int,hint:int,before:int,plain:int,colons:int,issuer:int>>")

@@ -44,7 +44,7 @@ def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN, keep_ids=False)
 
 
 def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import Scratch, let, split_join
+from tarnspark.llm.common import Scratch, let, placed, split_join
 
 #: name -> {argument: (VARIANT type, required)}
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -111,15 +111,10 @@ def positions(found: DataFrame, scratch: Scratch) -> DataFrame:
     Calls are range-partitioned by conversation and order, so a long conversation is several ranges; a
     place is the row's place in its range plus the rows of the ranges before, less the conversation's first.
     """
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["conv_id", "depth", F.col("turn").asc_nulls_first(), "call_id"]
-    ranged = scratch.keep(found.repartitionByRange(parts, *order).withColumn("pid", F.spark_partition_id()))
-    sizes = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.select("pid", (F.sum("c").over(Window.orderBy("pid")) - F.col("c")).alias("before"))  # a row a range
-    placed = ranged.withColumn("i", F.row_number().over(Window.partitionBy("pid").orderBy(*order))).join(F.broadcast(before), "pid")
-    placed = scratch.keep(placed.select("conv_id", "call_id", (F.col("i") + F.col("before")).cast("long").alias("place")))
-    start = scratch.keep(placed.groupBy("conv_id").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("c")))
-    return split_join(placed, start, "conv_id", "c").select("conv_id", "call_id", (F.col("place") - F.col("start") + 1).alias("position"))
+    at = scratch.keep(placed(found, order, scratch, "place").select("conv_id", "call_id", "place"))
+    start = scratch.keep(at.groupBy("conv_id").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("c")))
+    return split_join(at, start, "conv_id", "c").select("conv_id", "call_id", (F.col("place") - F.col("start") + 1).alias("position"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
