@@ -1,6 +1,6 @@
 """Op 7: mixing sources to target weights by the cube method.
 
-Source targets come from water-filling over the (small) table of sources. Every document of a source
+Source targets come from water-filling over the table of sources. Every document of a source
 then has the same expected number of copies; the whole part is taken outright and the fractional part
 is an inclusion probability. Flight phase: probabilities move inside the null space of two balancing
 constraints, documents and words, so both totals of a source stay put while documents settle at 0 or
@@ -20,10 +20,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import WORD, Scratch, fresh, own_columns, text_or_empty
+from tarnspark.llm.common import WORD, Scratch, fresh, own_columns, placed, split_join, text_or_empty
 
 #: The weights that sources take in turn, and the most often that a document is taken.
 WEIGHTS = (1, 2, 3)
@@ -41,24 +41,26 @@ def words(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, n_docs, target: shares by weight, none above ``most`` times its source's words.
 
-    Sources are sorted by cap over weight; the capped ones are a prefix of that order, so the level of
-    the rest follows from running sums. One row a source: the table is small whatever the corpus.
+    As the rule goes: sources whose share of what is left exceeds their cap take the cap, and the rest is
+    shared anew, until none exceeds. Each turn is a few sums; sources may be many (hosts, say), so no task
+    holds them all, and their numbering goes by ranges.
     """
+    scratch = Scratch(sizes.sparkSession)
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    at = (F.row_number().over(named) - 1) % len(weights)
-    by = by.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (at + 1).cast("int")))
-    by = by.withColumn("cap", F.col("source_size").cast("double") * most).withColumn("key", F.col("cap") / F.col("w"))
-    order = Window.orderBy("key", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
-    by = by.withColumn("room", F.sum("source_size").over(every).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    by = by.withColumn("level", F.col("room") / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    # the first source, in this order, that its level does not fill sets the level of all from there on
-    by = by.withColumn("free", F.min(F.when(F.col("key") > F.col("level"), F.struct("key", "source", "level"))).over(every))
-    filled = F.col("free").isNull() | (F.col("key") < F.col("free")["key"])
-    target = F.when(filled, F.col("cap")).otherwise(F.col("free")["level"] * F.col("w"))
-    return by.select("source", "source_size", "n_docs", F.least(target, F.col("cap")).alias("target"))
+    by = placed(by, [F.col("source").asc_nulls_last()], scratch)
+    at = F.pmod(F.col("_place") - 1, F.lit(len(weights)))
+    by = by.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (at + 1).cast("int"))).withColumn("cap", F.col("source_size").cast("double") * most)
+    by = scratch.keep(by.drop("_place"))
+    total, every = by.agg(F.sum("source_size"), F.sum("w")).first()
+    level, filled = float(total or 0) / (every or 1.0), -1
+    while True:
+        # no float sum decides a tie: a source at its cap stays there, as the level only rises
+        full = F.col("cap") <= F.col("w") * level
+        n, caps, free = by.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))).first()
+        if n == filled or not free:
+            break
+        filled, level = n, (float(total) - float(caps) * most) / free
+    return by.select("source", "source_size", "n_docs", F.least(F.col("w") * F.lit(level), F.col("cap")).alias("target"))
 
 
 def flight(p: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -163,11 +165,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document's row as often as the mix takes it, columns as they were.
 
-    Documents that share an id share the sum of their copies evenly in hash order of their texts; after
-    near-dedup ids are unique.
+    Rows that share doc_id, source and size share their copies as evenly as whole copies can, in order of
+    a hash of their text: each gets the whole part, the first ones one more. No copy is lost or made up.
     """
-    id_, copies, rows, occ = fresh(docs, "_id", "_copies", "_rows", "_occ")
-    taken = mix(docs).groupBy(F.col("doc_id").alias(id_)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).where(F.col(copies) > 0)
-    each = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
-    times = F.ceil(F.col(copies) / F.col(rows)).cast("int")
-    return each.withColumn(occ, F.explode(F.sequence(F.lit(1), times))).select(*own_columns(docs))
+    scratch = Scratch(docs.sparkSession)
+    id_, copies, rows, place, key, times = fresh(docs, "_id", "_copies", "_rows", "_place", "_key", "_times")
+    own = own_columns(docs)
+    mixed = scratch.keep(mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")))
+    by_id = mixed.groupBy(F.col("doc_id").alias(id_)).agg(F.sum("copies").alias(copies), F.sum("rows").alias(rows))
+    alone = by_id.where(F.col(rows) == 1).where(F.col(copies) > 0).select(id_, copies)
+    same = lambda c: F.col("doc_id").cast("long").eqNullSafe(F.col(c))
+    repeat = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
+    out = docs.join(alone, same(id_)).withColumn(times, repeat(F.col(copies))).select(*own)
+    several = scratch.keep(by_id.where(F.col(rows) > 1).select(id_))
+    if not several.limit(1).count():
+        return out
+    of = lambda doc_id, source, size: F.xxhash64(doc_id, source, size)
+    found = docs.join(several, same(id_), "left_semi").withColumn(key, of(F.col("doc_id").cast("long"), F.col("source").cast("string"), words(text_or_empty())))
+    named = placed(found.withColumn(rows, F.struct(F.xxhash64(text_or_empty()), F.monotonically_increasing_id())), [key, rows], scratch, place)
+    group = mixed.select(of(F.col("doc_id"), F.col("source"), F.col("size")).alias(key), F.col("copies").alias(copies), F.col("rows").alias(times))
+    named = scratch.keep(named.drop(rows))
+    group = group.join(named.groupBy(key).agg(F.min(place).alias(id_)), key).where(F.col(copies) > 0)
+    each = split_join(named, scratch.keep(group), key, times)
+    more = (F.col(place) - F.col(id_)) < F.col(copies) % F.col(times)
+    take = F.floor(F.col(copies) / F.col(times)) + more.cast("int")
+    return out.unionByName(each.withColumn(copies, take).where(F.col(copies) > 0).withColumn(times, repeat(F.col(copies))).select(*own))

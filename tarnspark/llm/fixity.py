@@ -1,18 +1,20 @@
-"""Op 2: Merkle fixity audit of replicated archives.
+"""Op 2: Merkle fixity audit of replicated WARC archives.
 
-Records stand at ordered offsets (their key). A record is hashed over all its fields, with lengths, so
-that no two contents read alike; the rows at one offset are combined without order, so that repeated
-rows need no sort. ``FAN`` consecutive offsets form a range, FAN ranges a range of ranges, up to the
-root; each node hashes its children in order. Two replicas are compared at their roots, and only
-ranges whose nodes differ are opened, level by level, down to the records.
+``warc`` writes pages as WARC records, header fields, payload and closing lines, in the order of their
+ids, with each record's length and byte offset in its archive. Records stand at ordered offsets (their
+key). A record is hashed over all its bytes; the rows at one offset are combined without order, so that
+repeated rows need no sort. ``FAN`` consecutive offsets form a range, FAN ranges a range of ranges, up to
+the root; each node hashes its children in order. Two replicas are compared at their roots, and only
+ranges whose nodes differ are opened, level by level, down to the records, whose bytes are then named.
 
 Records and nodes of both replicas are written once to the shared folder; each level is a grouped sum
 of at most FAN children a node, and descending is a semi-join with the mismatches of the level above.
 
-Defined cases: null fields differ from empty ones; records with a null key share one offset of their
-own; a missing or extra record is reported as such; equal repeated rows count, and a changed count is
-``altered``; an empty replica differs from any other at the root; extra columns are ignored; two empty
-replicas agree.
+Defined cases: null fields differ from empty ones (a null url has no header line, a null payload the
+line WARC-Truncated); records with a null key share one offset of their own, before all others in the
+archive; a missing or extra record is reported as such; equal repeated rows count, and a changed count
+is ``altered``; bytes of an offset with several records run from the first to the last; an empty replica
+differs from any other at the root; extra columns are ignored; two empty replicas agree.
 """
 
 from __future__ import annotations
@@ -20,12 +22,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import Scratch
+from tarnspark.llm.common import Scratch, placed
 
 FAN_BITS = 8
 FAN = 1 << FAN_BITS
 
 
+#: The line that opens a record, and what ends a line.
+VERSION, CRLF = "WARC/1.1", "\r\n"
+
+
+def warc(pages: DataFrame) -> DataFrame:
+    """page_id, record: every page as one WARC record of type resource, with the digest and length of its payload."""
+    payload = F.coalesce("html", F.lit(""))
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF))
+    known = lambda c, text: F.when(c.isNull(), F.lit("")).otherwise(text)
+    head = F.concat(
+        F.lit(VERSION + CRLF), line("WARC-Type", F.lit("resource")), known(F.col("page_id"), line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">")))),
+        known(F.col("url"), line("WARC-Target-URI", F.col("url"))), F.when(F.col("html").isNull(), line("WARC-Truncated", F.lit("unspecified"))).otherwise(F.lit("")),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.sha2(payload, 256))), line("Content-Type", F.lit("text/html")), line("Content-Length", F.octet_length(payload)), F.lit(CRLF),
+    )
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.concat(head, payload, F.lit(CRLF * 2)).alias("record"))
+
+
+def positions(archive: DataFrame, scratch: Scratch) -> DataFrame:
+    """page_id, byte_offset, byte_length of what stands at each key, records being ordered by key (then by hash) without gaps."""
+    sizes = archive.select("page_id", F.octet_length("record").cast("long").alias("bytes")).groupBy("page_id").agg(F.sum("bytes").alias("byte_length"))
+    order = [F.col("page_id").asc_nulls_first()]
+    return placed(sizes, order, scratch, "byte_offset", "byte_length").select("page_id", "byte_offset", "byte_length")
+
+
 def record_hash(fields: list[str]) -> Column:
     """SHA-256 over the fields, each with its length in bytes; null is told from empty."""
     part = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
@@ -113,6 +139,19 @@ def audit(primary: DataFrame, replica: DataFrame, key: str, fields: list[str]) -
     return rows, {"roots": roots, "depth": depth, "levels": opened}
 
 
+def audit_warc(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """The audit of two archives of ``warc`` records, with the bytes at which damage lies.
+
+    byte_offset and byte_length are those of the primary archive; of an extra record those of the replica.
+    """
+    scratch = Scratch(primary.sparkSession)
+    one, two = scratch.keep(primary.select("page_id", "record")), scratch.keep(replica.select("page_id", "record"))
+    found = scratch.keep(audit(one, two, "page_id", ["record"])[0])
+    extra = found["status"] == "extra"
+    at = lambda rows, archive: rows.join(positions(archive, scratch).withColumnRenamed("page_id", "_id"), F.col("page_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return at(found.where(~extra), one).unionByName(at(found.where(extra), two))
+
+
 def damaged(pages: DataFrame) -> DataFrame:
     """A replica of ``pages`` with damage by rule, so that an audit has something to find.
 

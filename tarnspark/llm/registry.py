@@ -16,7 +16,7 @@ def op1_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return fixity.audit(pages, fixity.damaged(pages), "page_id", ["page_id", "url", "html"])[0]
+    return fixity.audit_warc(fixity.warc(pages), fixity.warc(fixity.damaged(pages)))
 
 
 def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,18 +56,22 @@ QUERIES = {f.__name__: f for f in (op1_boosted_pii, op2_merkle_fixity, op3_tool_
 ORACLES: dict[str, str] = {
     "op2_merkle_fixity": """
         WITH r AS (
-            SELECT page_id, url, CASE WHEN page_id % 101 = 13 THEN coalesce(html, '') || '?' ELSE html END AS html
+            SELECT page_id, url, CASE WHEN page_id % 101 = 13 THEN coalesce(html, '') || '?' ELSE html END AS html, 2 AS side
             FROM pages WHERE page_id IS NULL OR page_id % 211 <> 29
-            UNION ALL SELECT -page_id - 1, url, html FROM pages WHERE page_id % 307 = 7),
+            UNION ALL SELECT -page_id - 1, url, html, 2 FROM pages WHERE page_id % 307 = 7
+            UNION ALL SELECT page_id, url, html, 1 FROM pages),
+        w AS (
+            SELECT page_id, side, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || coalesce('WARC-Target-URI: ' || url || e, '')
+                   || CASE WHEN html IS NULL THEN 'WARC-Truncated: unspecified' || e ELSE '' END || 'WARC-Payload-Digest: sha256:' || sha256(coalesce(html, '')) || e
+                   || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS record
+            FROM r, (SELECT chr(13) || chr(10) AS e)),
         h AS (
-            SELECT page_id, sha256(concat_ws(',', strlen(CAST(page_id AS VARCHAR)) || ':' || page_id,
-                       coalesce(strlen(url) || ':' || url, '-'), coalesce(strlen(html) || ':' || html, '-'))) AS hash, 1 AS side FROM pages
-            UNION ALL
-            SELECT page_id, sha256(concat_ws(',', strlen(CAST(page_id AS VARCHAR)) || ':' || page_id,
-                       coalesce(strlen(url) || ':' || url, '-'), coalesce(strlen(html) || ':' || html, '-'))), 2 FROM r),
-        x AS (SELECT page_id, max(hash) FILTER (side = 1) AS a, max(hash) FILTER (side = 2) AS b FROM h GROUP BY page_id)
+            SELECT page_id, side, sha256(strlen(record) || ':' || record) AS hash, CAST(strlen(record) AS BIGINT) AS byte_length,
+                   CAST(sum(strlen(record)) OVER (PARTITION BY side ORDER BY page_id) - strlen(record) AS BIGINT) AS byte_offset FROM w),
+        x AS (
+            SELECT page_id, max(hash) FILTER (side = 1) AS a, max(hash) FILTER (side = 2) AS b, arg_min(byte_offset, side) AS byte_offset, arg_min(byte_length, side) AS byte_length FROM h GROUP BY page_id)
         SELECT page_id, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'extra' ELSE 'altered' END AS status,
-               a AS primary_hash, b AS replica_hash,
+               a AS primary_hash, b AS replica_hash, byte_offset, byte_length,
                CAST(floor(page_id / 256.0) AS BIGINT) * 256 AS range_start, CAST(floor(page_id / 256.0) AS BIGINT) * 256 + 256 AS range_end
         FROM x WHERE a IS DISTINCT FROM b
     """,

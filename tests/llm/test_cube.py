@@ -1,6 +1,7 @@
 """Targets against the resharing rule step by step; the mix near its targets, in bounds and the same again."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -63,3 +64,37 @@ def test_edges(docs, odd):
     assert out.columns == df.columns
     rows = out.collect()
     assert all(r["text"] for r in rows)
+
+
+def test_documents_of_the_mix(docs):
+    """Every row as often as the mix takes it, with ids that several rows share; document totals near their expectation."""
+    rng = random.Random(9)
+    rows = [(i % 300 if i % 5 else None, "w " * rng.randint(1, 40) + f"t{i}", rng.choice("aab")) for i in range(900)] + [(1, "same text", "a")] * 7
+    df = docs(rows, extra=True)
+    taken = [r.asDict() for r in cube.mix(df).collect()]
+    out = cube.mixed_documents(df)
+    got = out.collect()
+    count = lambda rs: sorted((k[0] is None, k[0] or 0, k[1], k[2], n) for k, n in Counter(rs).items())
+    want = Counter()
+    for r in taken:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert count((r["doc_id"], r["source"], len(r["text"].split())) for r in got) == sorted((k[0] is None, k[0] or 0, k[1], k[2], n) for k, n in want.items() if n)
+    assert len(got) == sum(r["copies"] for r in taken) and out.columns == df.columns
+    per_text = Counter((r["doc_id"], r["text"]) for r in got)
+    assert max(per_text[d, t] for d, t, _ in rows if t != "same text") <= 3
+    for s in "ab":
+        mine = [r for r in taken if r["source"] == s]
+        expected = len(mine) * mine[0]["target"] / mine[0]["source_size"]
+        assert abs(sum(r["copies"] for r in mine) - expected) <= 4, s
+
+
+def test_many_sources(docs):
+    rng = random.Random(10)
+    rows = [(i, "w " * rng.randint(1, 9 if i % 7 else 200), f"host{rng.randrange(400)}") for i in range(1200)]
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    units = docs(rows).selectExpr("source", f"cast(regexp_count(text, 'w') as long) as size")
+    got = {r["source"]: r["target"] for r in cube.source_targets(units).collect()}
+    want = targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)

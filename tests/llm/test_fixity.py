@@ -1,5 +1,6 @@
 """Audits against a plain comparison of the two replicas."""
 
+import hashlib
 from collections import Counter
 
 from tarnspark.llm import fixity
@@ -46,3 +47,26 @@ def test_rule_damage(spark):
     rows, _ = fixity.audit(pages, fixity.damaged(pages), "page_id", FIELDS)
     got = Counter(r["status"] for r in rows.collect())
     assert got == Counter(altered=sum(i % 101 == 13 and i % 211 != 29 for i in range(700)), missing=sum(i % 211 == 29 for i in range(700)), extra=sum(i % 307 == 7 for i in range(700)))
+
+
+def test_records_and_their_bytes(spark):
+    """Byte offsets name the damaged records inside the archive's bytes."""
+    rows = [(i, None if i == 5 else f"http://é{i}.example", None if i == 6 else "漢" * (i % 7)) for i in range(900)] + [(3, "again", "x"), (None, "u", "long " * 40_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = {}
+    for r in fixity.warc(pages).collect():
+        made.setdefault(r["page_id"], []).append(r["record"].encode())
+    for k, html in ((4, "漢" * 4), (6, "")):
+        head, _, rest = made[k][0].partition(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\n") and f"Content-Length: {len(html.encode())}".encode() in head and rest == html.encode() + b"\r\n\r\n"
+        assert hashlib.sha256(html.encode()).hexdigest().encode() in head
+    assert b"WARC-Target-URI" not in made[5][0] and b"WARC-Truncated" in made[6][0]
+    archive = b"".join(b"".join(sorted(made[k])) for k in sorted(made, key=lambda k: (k is not None, k or 0)))
+    changed = spark.createDataFrame([(i, u, "?" if i in (3, 300) else h) for i, u, h in rows if i != 77] + [(5000, "new", "")], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in fixity.audit_warc(fixity.warc(pages), fixity.warc(changed)).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {3: "altered", 300: "altered", 77: "missing", 5000: "extra"}
+    for k in (3, 300, 77):
+        at = archive[got[k]["byte_offset"] :][: got[k]["byte_length"]]
+        assert at == b"".join(sorted(made[k]))
+    empty = fixity.warc(pages.limit(0))
+    assert fixity.audit_warc(empty, empty).count() == 0 and fixity.audit_warc(fixity.warc(pages), empty).count() == 901
