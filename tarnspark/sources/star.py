@@ -39,12 +39,29 @@ def missing_columns(table: str, df: DataFrame) -> list[str]:
     return [f"{table}.{c}" for c in TABLES[table] if c not in there]
 
 
+def mistyped_columns(table: str, df: DataFrame) -> list[str]:
+    """Columns whose type cannot stand for the declared one: only widening, text and date-time forms are cast."""
+    kinds = {f.name.lower(): f.dataType for f in df.schema.fields}
+    wrong = []
+    for c, want in TABLES[table].items():
+        have = kinds.get(c)
+        family = next((f for f in _FAMILIES if want.split("(")[0] in f), ())
+        if have is not None and have.typeName().split("(")[0] not in (*family, "void"):
+            wrong.append(f"{table}.{c} ({have.simpleString()}, not {want})")
+    return wrong
+
+
+#: Type names that may stand for each other.
+_FAMILIES = (("string", "char", "varchar"), ("int", "integer", "long", "short", "byte"), ("double", "float", "decimal", "integer", "long", "short", "byte"), ("decimal", "double", "float", "integer", "long", "short", "byte"), ("date",), ("timestamp", "timestamp_ntz", "date"))
+
+
 @dataclass
 class Star:
     """Tables by name, each projected to its readable columns and cast to its declared types."""
 
     session: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    _prints: dict[tuple, str] = field(default_factory=dict)
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -52,15 +69,29 @@ class Star:
         except KeyError:
             raise AttributeError(name) from None
 
+    def state(self) -> tuple:
+        """Names, sizes and times of the files behind the tables; empty for tables that have none."""
+        jvm, conf, out = self.session._jvm, self.session._jsc.hadoopConfiguration(), []
+        for name in sorted(self.tables):
+            for file in sorted(self.tables[name].inputFiles()):
+                path = jvm.org.apache.hadoop.fs.Path(file)
+                status = path.getFileSystem(conf).getFileStatus(path)
+                out.append((name, file, status.getLen(), status.getModificationTime()))
+        return tuple(out)
+
     def fingerprint(self) -> str:
-        """SHA-256 over a hash of every table's rows, free of row order: one distributed sum a table."""
+        """SHA-256 over a hash of every table's rows, free of row order; read again only when a file has changed."""
         from pyspark.sql import functions as F
 
+        state = self.state()
+        if state and state in self._prints:
+            return self._prints[state]
         out = hashlib.sha256()
         for name in sorted(self.tables):
             h = F.xxhash64(*self.tables[name].columns).cast("decimal(38,0)")
             out.update(f"{name}:{tuple(self.tables[name].agg(F.count(F.lit(1)), F.sum(h)).first())};".encode())
-        return out.hexdigest()
+        self._prints = {state: out.hexdigest()}
+        return self._prints[state]
 
 
 def from_frames(spark: SparkSession, frames: dict[str, DataFrame]) -> Star:
@@ -70,6 +101,10 @@ def from_frames(spark: SparkSession, frames: dict[str, DataFrame]) -> Star:
     if lost:
         more = f" and {len(lost) - 10} more" if len(lost) > 10 else ""
         raise SourceUnavailable(f"the source lacks {', '.join(lost[:10])}{more}", "open a source with the whole schema")
+    wrong = [c for t in TABLES for c in mistyped_columns(t, frames[t])]
+    if wrong:
+        more = f" and {len(wrong) - 10} more" if len(wrong) > 10 else ""
+        raise SourceUnavailable(f"the source has other types: {', '.join(wrong[:10])}{more}", "open a source with the declared types")
     own = harden(spark)
     star = Star(own)
     for t, cols in TABLES.items():

@@ -171,6 +171,8 @@ def test_source_is_validated(spark, tmp_path):
     frames = {t: spark.createDataFrame([], S.struct(t)) for t in S.TABLES}
     with pytest.raises(SourceUnavailable, match="dim_genres.nome_genero"):
         S.from_frames(spark, frames | {"dim_genres": frames["dim_genres"].drop("nome_genero")})
+    with pytest.raises(SourceUnavailable, match=r"dim_movies.ano_lancamento \(string, not int\)"):
+        S.from_frames(spark, frames | {"dim_movies": frames["dim_movies"].withColumn("ano_lancamento", frames["dim_movies"]["titulo"])})
     with pytest.raises(SourceUnavailable) as e:
         S.open_parquet(spark, str(tmp_path / "nothing"))
     assert str(tmp_path) not in str(e.value) and not e.value.recoverable
@@ -178,4 +180,6 @@ def test_source_is_validated(spark, tmp_path):
     assert star.fingerprint() == r.star(spark, shuffle=3).fingerprint()
     for t in S.TABLES:
         star.tables[t].write.parquet(str(tmp_path / "gold" / f"{t}.parquet"))
-    assert S.open_parquet(spark, str(tmp_path / "gold")).dim_genres.count() == 19
+    gold = S.open_parquet(spark, str(tmp_path / "gold"))
+    assert gold.dim_genres.count() == 19 and gold.fingerprint() == star.fingerprint()
+    assert gold.state() and gold._prints == {gold.state(): gold.fingerprint()}
