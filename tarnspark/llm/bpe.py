@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tarnspark.llm.common import text_or_empty
 
-CHUNK = 8192
+CHUNK = 16_384
 OVERLAP = 256
 #: A contraction looks at three characters, so pre-tokens this near a chunk's end are not trusted.
 MARGIN = 4
