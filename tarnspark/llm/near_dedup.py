@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnspark.llm.common import WORD, Scratch, fresh, own_columns, salted_join, split_join, text_or_empty
+from tarnspark.llm.common import WORD, Scratch, fresh, own_columns, placed as numbered, salted_join, split_join, text_or_empty
 from tarnspark.llm.components import components
 
 GROUPS, ROWS = 8, 2
@@ -139,6 +139,24 @@ def tile_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.Data
     return pd.DataFrame(out, columns=["a", "b"])
 
 
+def each_tile(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """``tile_links`` of every tile, of rows (tile, left, sig, label, items) that come in the order of tiles."""
+
+    def of(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True)
+        return tile_links(rows[rows["left"]], rows[~rows["left"]], percent)
+
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        for tile, rows in pdf.groupby("tile", sort=True):
+            if held and held[0]["tile"].iloc[0] != tile:
+                yield of(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield of(held)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int = GROUPS, rows: int = ROWS, internal: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id: links where 100 * intersection >= percent * union.
 
@@ -190,15 +208,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
         keyed = bands.select("sig", "label", F.coalesce("out", F.lit(False)).alias("out"), F.posexplode(F.slice("bands", 1, groups)).alias("g", "band"))
         by = keyed.groupBy("g", "band").agg(F.count(F.lit(1)).alias("c"), F.count_if("out").alias("o"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("o > 0 and l0 <> l1")
         blocks = lambda n: F.ceil(F.col(n) / SIDE).cast("long")
-        keyed = scratch.keep(keyed.join(by.select("g", "band", blocks("o").alias("no"), blocks("c").alias("nc")), ["g", "band"]))
+        by = by.select("g", "band", blocks("o").alias("no"), blocks("c").alias("nc")).withColumn("tiles", F.col("no") * F.col("nc"))
+        # tiles are numbered, those of the largest group keys first, and dealt in turn: no task gets two large ones more than another
+        by = numbered(by, [F.desc("tiles"), "g", "band"], scratch, "t0", of="tiles").drop("tiles")
+        keyed = scratch.keep(keyed.join(by, ["g", "band"]))
         sets = sets_of(keyed.select("sig"))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         mine = lambda n: F.pmod(F.xxhash64("sig"), F.col(n))
-        x = keyed.where("out").withColumn("i", mine("no")).withColumn("j", every("nc")).join(sets, "sig").select("g", "band", "i", "j", "sig", "label", "items")
-        y = keyed.withColumn("j", mine("nc")).withColumn("i", every("no")).join(sets, "sig").select("g", "band", "i", "j", "sig", "label", "items")
-        tile = ["g", "band", "i", "j"]
-        x, y = x.toDF(*x.columns), y.toDF(*y.columns)  # the two sides share their sources
-        links = x.groupBy(*tile).cogroup(y.groupBy(*tile)).applyInPandas(lambda a, b: tile_links(a, b, percent), "a binary, b binary")
+        x = keyed.where("out").withColumn("i", mine("no")).withColumn("j", every("nc")).withColumn("left", F.lit(True))
+        y = keyed.withColumn("j", mine("nc")).withColumn("i", every("no")).withColumn("left", F.lit(False))
+        named = x.unionByName(y).select((F.col("t0") + F.col("i") * F.col("nc") + F.col("j")).alias("tile"), "left", "sig", "label")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = named.join(sets, "sig").repartitionById(parts, F.pmod("tile", F.lit(parts)).cast("int")).sortWithinPartitions("tile")
+        links = dealt.mapInPandas(lambda batches: each_tile(batches, percent), "a binary, b binary")
         links = scratch.keep(links.distinct())
         scratch.drop(sets)
         return links
