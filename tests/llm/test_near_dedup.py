@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 from tarnspark.llm import near_dedup as N
+from tarnspark.llm.common import Scratch
+from tarnspark.llm.components import components
 
 
 def words(rng, n):
@@ -64,6 +66,30 @@ def test_tile_links():
     assert N.tile_links(side(), side((1, a)), 85).empty
 
 
+def test_each_tile():
+    """Tiles cut anywhere by batches, several in a batch, and one without a left side."""
+    a, b, c = (np.arange(i, i + 100) for i in (0, 5, 500))
+    rows = [(t, left, bytes([t, i]), bytes([t, i]), x) for t in (0, 3, 7) for left in ((False,) if t == 3 else (True, False)) for i, x in enumerate((a, b, c))]
+    df = pd.DataFrame(rows, columns=["tile", "left", "sig", "label", "items"])
+    want = {(bytes([t, 0]), bytes([t, 1])) for t in (0, 7)}
+    for size in (1, 4, 100):
+        got = pd.concat(N.each_tile((df.iloc[i : i + size] for i in range(0, len(df), size)), 85))
+        assert {tuple(sorted(x)) for x in got.values} == want
+    assert not [*N.each_tile(iter([df.iloc[:0]]), 85)]
+
+
+def test_hubs(spark):
+    """Components with a node of thousands of links, least or greatest of its component, beside chains."""
+    low = [(0, i) for i in range(1, 2500)]
+    high = [(9999, i) for i in range(3000, 5500)]
+    chain = [(i, i + 1) for i in range(6000, 6040)]
+    links = spark.createDataFrame([*low, *high, *chain, (7, 7), (1, 0)], "a long, b long")
+    got = {r["node"]: r["label"] for r in components(links, "a", "b", Scratch(spark)).collect()}
+    want = {i: 0 for i in range(2500)} | {i: 3000 for i in [*range(3000, 5500), 9999]} | {i: 6000 for i in range(6000, 6041)}
+    assert got == want
+    assert components(links.limit(0), "a", "b", Scratch(spark)).count() == 0
+
+
 def test_distinct_documents(docs, odd, spark):
     df = docs(odd, extra=True)
     out = N.distinct_documents(df)
