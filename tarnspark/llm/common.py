@@ -38,10 +38,18 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tarnspark/{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """``df``, written and read again; ``batch``: rows that Python workers get at once, for wide rows."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        was = self.spark.conf.get(name)
+        try:
+            if batch:
+                self.spark.conf.set(name, batch)
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(name, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -34,6 +34,8 @@ from tarnspark.llm.components import components
 GROUPS, ROWS = 8, 2
 #: Pivots of a bucket; largest bucket that is compared by pairs; sets on a side of a tile.
 PIVOTS, SMALL, SIDE = 4, 32, 512
+#: Shingles on a side of a tile, texts or sets that a Python worker gets at once, words whose hashes it holds.
+ITEMS, BATCH, VOCABULARY = 1 << 19, 1000, 200_000
 U = np.uint64
 _K = (U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 
@@ -43,7 +45,7 @@ def shingles(text: str, k: int, seen: dict[bytes, int]) -> np.ndarray:
     words = text.encode().lower().split()  # bytes: only A-Z and ASCII white space count
     if len(words) < k:
         return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words), len(words))] if words else [], dtype=U)
-    if len(seen) > 1_000_000:
+    if len(seen) > VOCABULARY:
         seen.clear()
     for w in words:
         if w not in seen:
@@ -165,7 +167,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", text_or_empty().alias("text"))
-    signed = scratch.keep(signatures(docs, k, groups, rows))
+    signed = scratch.keep(signatures(docs, k, groups, rows), BATCH)
     classes = scratch.keep(signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max(F.struct("n_shingles", "bands")).alias("x")).select("sig", "rep", F.col("x.n_shingles").alias("n"), "x.bands"))
     keys = F.array(*[F.xxhash64(F.lit(i * groups + j), F.get("bands", F.lit(i)), F.get("bands", F.lit(groups + j))) for i in range(groups) for j in range(groups)])
     rows_ = classes.select("sig", "n", F.explode(keys).alias("key"))
@@ -186,7 +188,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
         """sig, items of the classes named, from the text of one document each."""
         named = scratch.keep(named.distinct().join(classes.select("sig", "rep"), "sig"))
         texts = docs.join(named.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-        return scratch.keep(full_sets(texts, k).join(named.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
+        return scratch.keep(full_sets(texts, k).join(named.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), BATCH)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among the proposed pairs, on full sets of the classes involved."""
@@ -204,10 +206,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
 
     def by_tiles(outside: DataFrame, labelled: DataFrame) -> DataFrame:
         """Links of the classes ``outside`` with any class of another component that shares a group key of the first collection."""
-        bands = classes.join(labelled, "sig").select("sig", "label", "bands").join(outside.withColumn("out", F.lit(True)), "sig", "left")
-        keyed = bands.select("sig", "label", F.coalesce("out", F.lit(False)).alias("out"), F.posexplode(F.slice("bands", 1, groups)).alias("g", "band"))
-        by = keyed.groupBy("g", "band").agg(F.count(F.lit(1)).alias("c"), F.count_if("out").alias("o"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("o > 0 and l0 <> l1")
-        blocks = lambda n: F.ceil(F.col(n) / SIDE).cast("long")
+        bands = classes.join(labelled, "sig").select("sig", "label", "n", "bands").join(outside.withColumn("out", F.lit(True)), "sig", "left")
+        keyed = bands.select("sig", "label", "n", F.coalesce("out", F.lit(False)).alias("out"), F.posexplode(F.slice("bands", 1, groups)).alias("g", "band"))
+        by = keyed.groupBy("g", "band").agg(F.count(F.lit(1)).alias("c"), F.count_if("out").alias("o"), F.sum("n").alias("cn"), F.sum(F.when(F.col("out"), F.col("n"))).alias("on"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("o > 0 and l0 <> l1")
+        blocks = lambda n: F.ceil(F.greatest(F.col(n) / SIDE, F.col(n + "n") / ITEMS)).cast("long")
         by = by.select("g", "band", blocks("o").alias("no"), blocks("c").alias("nc")).withColumn("tiles", F.col("no") * F.col("nc"))
         # tiles are numbered, those of the largest group keys first, and dealt in turn: no task gets two large ones more than another
         by = numbered(by, [F.desc("tiles"), "g", "band"], scratch, "t0", of="tiles").drop("tiles")
@@ -221,7 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, groups: int
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = named.join(sets, "sig").repartitionById(parts, F.pmod("tile", F.lit(parts)).cast("int")).sortWithinPartitions("tile")
         links = dealt.mapInPandas(lambda batches: each_tile(batches, percent), "a binary, b binary")
-        links = scratch.keep(links.distinct())
+        links = scratch.keep(links.distinct(), BATCH)
         scratch.drop(sets)
         return links
 
