@@ -19,7 +19,7 @@ from tarnspark.sources.star import Star
 
 MAX_QUERY, MAX_KEY = 200, 400
 MIN_PARTIAL, MIN_PARTIAL_CJK, MIN_FUZZY, MIN_TOKEN = 3, 2, 4, 3
-NEIGHBOURS, EXPANSIONS, SCAN = 50, 2000, 100_000
+NEIGHBOURS = 50
 CANDIDATES, CANDIDATES_MOST = 10, 25
 
 #: Kinds with their table, key and label columns.
@@ -51,7 +51,10 @@ class Candidate:
 
 @dataclass(frozen=True)
 class EntityMatch:
-    """state: exact_unique, exact_multiple, partial_candidates, fuzzy_suggestions or none (with a reason)."""
+    """state: exact_unique, exact_multiple, partial_candidates, fuzzy_suggestions or none (with a reason).
+
+    total_matches counts every match, so total_is_lower_bound is never set; callers may still read it.
+    """
 
     state: str
     kind: str
@@ -165,9 +168,9 @@ class EntityIndex:
                 return none(key, "exists_in_other_role", ", ".join(others))
         short = len(key) < (MIN_PARTIAL_CJK if has_cjk(key) else MIN_PARTIAL)
         if not short:
-            found, n, cut = self._partial(kind, mine, key, max_candidates)
+            found, n = self._partial(kind, mine, key, max_candidates)
             if n:
-                return EntityMatch("partial_candidates", kind, query, key, found, n, cut)
+                return EntityMatch("partial_candidates", kind, query, key, found, n)
         if len(key) >= MIN_FUZZY:
             found, n = self._fuzzy(kind, mine, key, max_candidates)
             if n:
@@ -180,18 +183,13 @@ class EntityIndex:
         top = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").orderBy(*order).limit(k)
         return tuple(Candidate(kind, r["id"], r["label"], r["year"], r["movie_id"], r["role"], r["via"], r["edits"]) for r in top.collect())
 
-    def _partial(self, kind: str, mine: DataFrame, key: str, k: int) -> tuple[tuple[Candidate, ...], int, bool]:
+    def _partial(self, kind: str, mine: DataFrame, key: str, k: int) -> tuple[tuple[Candidate, ...], int]:
         tokens = list(dict.fromkeys(key.split(" ")))
-        all_tokens = self.tokens(kind)
-        vocabulary = all_tokens.select("token").distinct()
-        wide = vocabulary.agg(*[F.count_if(F.col("token").startswith(t)).alias(f"t{i}") for i, t in enumerate(tokens)]).first()
-        hits = []
-        for i, t in enumerate(tokens):
-            may_begin = len(t) >= MIN_TOKEN and wide[i] <= EXPANSIONS  # a shorter or too common beginning counts only as a whole token
-            hits.append(F.max(F.when(F.col("token") == t, 2).when(F.col("token").startswith(t) if may_begin else F.lit(False), 1).otherwise(0)).alias(f"h{i}"))
+        # a beginning shorter than MIN_TOKEN counts only as a whole token
+        fits = [F.col("token").startswith(t) if len(t) >= MIN_TOKEN else F.col("token") == t for t in tokens]
+        hits = [F.max(F.when(F.col("token") == t, 2).when(fit, 1).otherwise(0)).alias(f"h{i}") for i, (t, fit) in enumerate(zip(tokens, fits))]
         # only tokens that may answer are grouped; keys that begin as the query does are found by themselves
-        asked = reduce(lambda a, b: a | b, [F.col("token").startswith(t) if len(t) >= MIN_TOKEN and wide[i] <= EXPANSIONS else F.col("token") == t for i, t in enumerate(tokens)])
-        by = all_tokens.where(asked).groupBy("key").agg(*hits)
+        by = self.tokens(kind).where(reduce(lambda a, b: a | b, fits)).groupBy("key").agg(*hits)
         least = reduce(lambda a, b: F.least(a, b), [F.col(f"h{i}") for i in range(1, len(tokens))], F.col("h0"))
         by_token = by.withColumn("cls", F.when(least == 2, 1).when(least == 1, 2)).where("cls is not null").select("key", "cls")
         begins = self.names(kind).where(F.col("key").startswith(key)).select("key", F.lit(0).alias("cls"))
@@ -200,7 +198,7 @@ class EntityIndex:
         rows = mine.join(matched, "key").withColumn("via", F.when(F.col("alias"), "alias").when(F.col("cls") == 0, "prefix").otherwise("tokens")).withColumn("edits", F.lit(None).cast("int"))
         n = rows.select("id").distinct().count()
         order = [F.col("cls"), F.col("extra"), F.length("key"), F.col("key"), *canonical_order(kind)]
-        return (self._best(kind, rows, order, k) if n else ()), min(n, SCAN), n > SCAN
+        return (self._best(kind, rows, order, k) if n else ()), n
 
     def _fuzzy(self, kind: str, mine: DataFrame, key: str, k: int) -> tuple[tuple[Candidate, ...], int]:
         tokens = list(dict.fromkeys(key.split(" ")))

@@ -33,6 +33,21 @@ def test_against_duckdb(spark, duck, name):
     assert rows_of(df.columns, df.collect()) == rows_of(rel.columns, rel.fetchall())
 
 
+@pytest.mark.parametrize("widgets,words", [(100_001, 9), (9, 2_001)])
+def test_partial_names_of_many_rows_or_many_words(spark, tmp_path, widgets, words):
+    """Over 100,000 rows answer, or over 2,000 words begin as the one asked for."""
+    c = duckdb.connect()
+    for t in ("customer", "nation"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    c.execute(f"CREATE TABLE part AS SELECT i AS p_partkey, CASE WHEN i < {words} THEN 'sma' || i || ' ring' WHEN i % 3 = 0 THEN 'old widget' ELSE 'red widget' END AS p_name FROM range({widgets + words}) r(i)")
+    for t in ("customer", "nation", "part"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    df, rel = Q.QUERIES["e_partial_names"](spark, str(tmp_path)), c.sql(Q.ORACLES["e_partial_names"])
+    rows = df.collect()
+    assert {(r.asked, r.total) for r in rows} >= {("widget", widgets), ("sma rin", words)}
+    assert rows_of(df.columns, rows) == rows_of(rel.columns, rel.fetchall())
+
+
 def test_contract(spark):
     assert entry.entry(spark).count() >= 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
