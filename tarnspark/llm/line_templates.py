@@ -45,34 +45,49 @@ PASSAGE, PASSAGE_DOCS = 50, 2
 #: A document has lines of its own if they make up this many words and this share of its words.
 OWN_WORDS, OWN_SHARE = 8, 0.05
 VARIABLE = r"[0-9@]|^[a-z]+://"
-#: A line without any of these has no variable field.
-MAYBE = r"[0-9@]|://"
+#: A line without any of these and without "://" has no variable field and no white space but spaces.
+ODD = r"[0-9@\x09-\x0D]"
 #: Kinds of keys: exact template, generalised ones, and the branches by first and by last tokens.
 EXACT, GENERAL, HEAD, TAIL = 0, 1, 2, 3
 
 
-def keys_of(tokens: Column) -> Column:
-    """array<(kind, key)>: the exact template, the generalised ones, and the line's two branches."""
-    n = F.size(tokens)
-    part = lambda lo, hi: F.array_join(F.slice(tokens, lo + 1, hi - lo), " ")
+def keys_of(s: Column, n: Column) -> Column:
+    """array<(kind, key)> of a line's tokens, joined, and their number: its two branches, the exact template, the generalised ones.
+
+    Tokens are cut out of the text, as each slice of an array copies the whole array. A line of WIDE tokens
+    is cut in halves and these in quarters; its templates are hashes of the hashes of their quarters.
+    """
+    cut = lambda x, k: F.call_function("substring_index", x, F.lit(" "), k)  # noqa: E731  the first k tokens, or the last -k
     named = lambda kind, *parts: F.struct(F.lit(kind).cast("byte").alias("kind"), F.xxhash64(F.lit(kind), n, *parts).alias("key"))
-    whole = F.array_join(tokens, " ")
     least = F.least(F.lit(LEAD), n)
-    always = F.array(named(EXACT, whole), named(HEAD, part(F.lit(0), least)), named(TAIL, part(n - least, n)))
-
-    edge = lambda j: LEAD + F.floor((n - LEAD) * j / 4).cast("int")
-    quarters = F.array(*[named(GENERAL, F.lit(j), part(F.lit(0), edge(j)), part(edge(j + 1), n)) for j in range(4)])
-    gaps = F.transform(F.sequence(F.lit(GAP), n - GAP), lambda i: named(GENERAL, i, part(F.lit(0), i), part(i + GAP, n)))
-    return F.when(n >= WIDE, F.concat(always, quarters)).when(n >= NARROW, F.concat(always, gaps)).when(n > 0, always).otherwise(F.slice(always, 1, 0))
+    branches = F.array(named(HEAD, cut(s, least)), named(TAIL, cut(s, -least)))
+    exact = F.array(named(EXACT, s))
+
+    edge = lambda j: F.shiftright((n - LEAD) * j, 2) + LEAD
+    halves = F.struct(cut(s, edge(2)).alias("a"), cut(s, edge(2) - n).alias("b"))
+    lead = lambda h: cut(h["a"], F.lit(LEAD))
+    quarters = lambda h: [cut(cut(h["a"], edge(1)), LEAD - edge(1)), cut(h["a"], edge(1) - edge(2)), cut(h["b"], edge(3) - edge(2)), cut(h["b"], edge(3) - n)]
+    hashes = lambda h: F.struct(F.xxhash64(lead(h)).alias("lead"), *[F.xxhash64(q).alias(f"q{j}") for j, q in enumerate(quarters(h))])
+    less = lambda p, gone: [p["lead"], *[p[f"q{j}"] for j in range(4) if j != gone]]
+    wide = let(let(halves, hashes), lambda p: F.array(named(EXACT, *less(p, None)), *[named(GENERAL, F.lit(j), *less(p, j)) for j in range(4)]))
+    gaps = F.transform(F.sequence(F.lit(GAP), n - GAP), lambda i: named(GENERAL, i, cut(s, i), cut(s, i + GAP - n)))
+    return F.when(n >= WIDE, F.concat(branches, wide)).when(n >= NARROW, F.concat(branches, exact, gaps)).when(n > 0, F.concat(branches, exact))
+
+
+def template(l: Column) -> Column:
+    """A line's tokens, variable fields masked, with one space between them."""
+    words = F.array_remove(F.split(l, f"[{SPACE}]+"), "")
+    masked = lambda w: F.transform(w, lambda t: F.when(t.rlike(VARIABLE), "<*>").otherwise(t))
+    bare = lambda w: (F.size(w) < LEAD) & F.forall(w, lambda t: t.rlike(VARIABLE))
+    as_is = ~(l.rlike(ODD) | l.contains("://") | l.contains("  ") | l.startswith(" ") | l.endswith(" "))
+    return F.when(as_is, l).otherwise(F.array_join(let(words, lambda w: F.when(bare(w), w).otherwise(masked(w))), " "))
 
 
 def parsed(text: Column) -> Column:
-    """array<(n, keys)>: token count and keys of every line in order."""
-    words = lambda l: F.array_remove(F.split(l, f"[{SPACE}]+"), "")
-    masked = lambda w: F.transform(w, lambda t: F.when(t.rlike(VARIABLE), "<*>").otherwise(t))
-    bare = lambda w: (F.size(w) < LEAD) & F.forall(w, lambda t: t.rlike(VARIABLE))
-    tokens = lambda l: F.when(l.rlike(MAYBE), let(words(l), lambda w: F.when(bare(w), w).otherwise(masked(w)))).otherwise(words(l))
-    line = lambda l: let(tokens(l), lambda t: F.struct(F.size(t).alias("n"), keys_of(t).alias("keys")))
+    """array<(n, keys)>: token count and keys of every line in order, no keys for a blank one."""
+    n = lambda s: F.when(s == "", 0).otherwise(F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
+    counted = lambda l: let(template(l), lambda s: F.struct(s.alias("s"), n(s).alias("n")))
+    line = lambda l: let(counted(l), lambda t: F.struct(t["n"].alias("n"), keys_of(t["s"], t["n"]).alias("keys")))
     return F.transform(F.split(text, "\n"), line)
 
 

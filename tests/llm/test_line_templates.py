@@ -1,5 +1,9 @@
 """Recurring templates go, one stays, copies of whole documents and rare lines are left alone."""
 
+import re
+
+from pyspark.sql import functions as F
+
 from tarnspark.llm import line_templates as L
 
 LONG = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 5)}" for i in range(40))
@@ -100,3 +104,35 @@ def test_names_in_a_short_line(docs):
     names = ["Maria Lopez", "Jean Petit", "Ana Souza", "Li Wei", "Tom Reed", "Eva Berg", "Ivo Marsh", "Kim Lund", "Max Hart"]
     got = {r["doc_id"]: r["text"] for r in L.report(docs([f"{unique(i)}\nPosted by {x} in News" for i, x in enumerate(names)])).collect()}
     assert [("Posted" in got[i]) for i in range(9)] == [True] + [False] * 8
+
+
+def templates(line):
+    """The keys of a line, by the rule: kind and a template in plain form."""
+    raw = re.findall(r"[^\x20\x09-\x0D]+", line)
+    variable = [bool(re.search(L.VARIABLE, t)) for t in raw]
+    w = raw if len(raw) < L.LEAD and all(variable) else ["<*>" if v else t for t, v in zip(raw, variable, strict=True)]
+    n = len(w)
+    edge = lambda j: L.LEAD + (n - L.LEAD) * j // 4
+    gaps = [(edge(j), edge(j + 1)) for j in range(4)] if n >= L.WIDE else [(i, i + L.GAP) for i in range(L.GAP, n - L.GAP + 1)] if n >= L.NARROW else []
+    keys = [(L.EXACT, n, tuple(w)), (L.HEAD, n, tuple(w[: L.LEAD])), (L.TAIL, n, tuple(w[-L.LEAD :]))]
+    return n, sorted(keys + [(L.GENERAL, n, i, tuple(w[:lo]), tuple(w[hi:])) for i, (lo, hi) in enumerate(gaps)]) if n else []
+
+
+def test_keys_are_the_templates_and_copy_no_arrays(docs):
+    plain = [" ".join(f"w{chr(97 + j)}" for j in range(n)) for n in range(1, 27)]
+    changed = [" ".join("other" if j == at else t for j, t in enumerate(x.split())) for x in plain for at in range(0, len(x.split()), 2)]
+    odd = ["", " ", "\t\r", " lead", "trail ", "a  b", "a\tb", "7", "7 8", "7 8 9", "x 7", "<*> 8 9", "<*> <*> <*>", "see http://a b", "Http://a b c", "漢字 é " * 9, "one\x0btwo\x0cthree 4 five me@x six\r"]
+    lines = [*plain, *changed, *odd]
+    df = docs(["\n".join(lines)]).select(L.parsed(F.col("text")).alias("p"))
+    assert "slice(" not in df._jdf.queryExecution().analyzed().toString()  # each would copy the whole line once more
+    got = df.first()["p"]
+    named = {}  # the same templates, and these alone, have the same key
+    for line, g in zip(lines, got, strict=True):
+        n, want = templates(line)
+        keys = g["keys"] or []
+        assert (g["n"], sorted(k["kind"] for k in keys)) == (n, [k[0] for k in want]), line
+        named[line] = {k["key"] for k in keys}
+        assert len(named[line]) == len(set(want))
+    for a in lines:
+        for b in lines:
+            assert len(named[a] & named[b]) == len(set(templates(a)[1]) & set(templates(b)[1])), (a, b)
